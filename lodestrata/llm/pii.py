@@ -231,7 +231,7 @@ def features(text: str, g: Segment) -> list[str]:
         out += [f"name|form={'-'.join(kinds)}{',' if ',' in span else ''}", f"name|n={len(tokens)}", f"name|prev={prev}", f"name|next={nxt}"]
         out += [f"name|anystop={'stop' in kinds}", f"name|first={kinds[0]}", f"name|last={kinds[-1]}", f"name|digit={any('digit' in p for p in per)}"]
         out += [f"name|b2={before[-3:]}", f"name|a2={after[:3]}", f"name|line={'^' if not line.strip(' -*>|#') else '.'}{'$' if after[:1] in ('', chr(10)) else '.'}"]
-        out += [f"name|street={bool(re.search(STREET + r'$', span)) and len(span) > 3}", f"name|numbered={bool(re.search(r'[0-9] ?$', before))}", f"name|mailnext={bool(re.match(r'[ ,;|]{0,3}<?[^ <>]+(?:@| ?[[(]at| at )', after))}"]
+        out += [f"name|street={bool(re.search(STREET + r'$', span)) and len(span) > 3}", f"name|numbered={bool(re.search(r'[0-9] ?$', before))}", f"name|mailnext={bool(re.match(r'[ ,;|]{0,3}<?[^ <>]+(?:@| ?[\[(]at| at )', after))}"]
         out += [f"name|sig={bool(re.search(r'-- ?' + chr(10) + '$', before))}", f"name|zip={bool(re.match(r',? [A-Z]{2} [0-9]{5}', after))}"]
         loud = [w for w in re.findall(r"[^\W\d_]{2,}", line[-16:])[-1:] + re.findall(r"[^\W\d_]{2,}", after.split(chr(10))[0])[:1] if w.isupper()]
         out += [f"name|loud={len(loud)}", f"name|loud={len(loud)}|{kinds[-1]}"]
