@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(value: Column | str) -> Column:
@@ -114,7 +115,7 @@ def hunk_part(header: Column | str, part: str) -> Column:
     return F.when(~col(header).rlike(pattern), None).otherwise(F.when(found == "", F.lit(1)).otherwise(found.try_cast("int")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quote_git_path(paths: pd.Series) -> pd.Series:
     """C-style quoting of a path with special or non-ASCII bytes; others stay bare."""
     escapes = {7: "\\a", 8: "\\b", 9: "\\t", 10: "\\n", 11: "\\v", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
@@ -130,7 +131,7 @@ def quote_git_path(paths: pd.Series) -> pd.Series:
     return paths.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unquote_git_path(paths: pd.Series) -> pd.Series:
     """The reverse of ``quote_git_path``; bare paths stay."""
     back = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
@@ -160,7 +161,7 @@ def unquote_git_path(paths: pd.Series) -> pd.Series:
 def utf8_truncate(limit: int, marker: str = "\n[truncated]\n"):
     """A function that cuts text to ``limit`` bytes between code points and then adds ``marker``."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cut(values: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             raw = None if text is None else text.encode("utf-8", "surrogatepass")

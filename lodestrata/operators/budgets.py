@@ -1,35 +1,53 @@
 """Running budgets with honest partiality: what was left out is told.
 
-Prefix budgets are running sums per group. A prefix over all rows is found in
-two steps, sums per range partition and then within one, so that no task sees
-all rows. Greedy budgets depend on every earlier choice; they fold one group's
-rows in order.
+Prefix budgets are running sums per group, spread over tasks by range. Greedy
+budgets depend on every earlier choice; they take rounds of running sums, each
+of which settles all groups up to their next rejection and drops what can no
+longer fit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import cut
+from lodestrata.operators.ordered import _same, prefix_sum, rank
+
 
 def prefix_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, limit: int) -> DataFrame:
-    """Rows with ``accepted``: in order while the running cost is within the limit; all after the first rejection are rejected."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(cost).over(w)).withColumn("accepted", F.max("running").over(w) <= limit)
+    """Rows with ``running`` and ``accepted``: in order while the running cost is within the limit; costs are not negative."""
+    return prefix_sum(rows, by, order, cost).withColumn("accepted", F.col("running") <= limit)
+
 
+def greedy_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, limit: int, most_rounds: int = 200) -> DataFrame:
+    """Rows with ``accepted``: in order, each that still fits; a rejected cost is not consumed, later cheaper rows may fit.
 
-def greedy_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, limit: int) -> DataFrame:
-    """Rows with ``accepted``: in order, each that still fits; a rejected cost is not consumed, later cheaper rows may fit."""
-    fields = F.struct(*order, F.col(cost).cast("bigint").alias("cost_"), F.struct(*[c for c in rows.columns if c not in by]).alias("row_"))
-    grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(fields)).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-    fold = F.aggregate(
-        F.col("items.cost_"), start,
-        lambda acc, c: F.struct((acc["used"] + F.when(acc["used"] + c <= limit, c).otherwise(F.lit(0))).cast("bigint").alias("used"), F.concat(acc["kept"], F.array(acc["used"] + c <= limit)).alias("kept")),
-    )
-    each = grouped.select(*by, F.explode(F.arrays_zip(F.col("items.row_").alias("r"), fold["kept"].alias("k"))).alias("x"))
-    return each.select(*by, "x.r.*", F.col("x.k").alias("accepted"))
+    In a round every group accepts its pending rows up to the first that does not
+    fit; that one is rejected, as are all later ones dearer than what remains. A
+    group needs a round per such rejection, which its budget bounds.
+    """
+    keys = [*by, *order]
+    pending = rows.select(*keys, F.coalesce(F.col(cost).cast("bigint"), F.lit(0)).alias("__cost")).where(F.col("__cost") <= limit).withColumn("__left", F.lit(limit).cast("bigint"))
+    taken = []
+    for _ in range(most_rounds):
+        run = cut(prefix_sum(pending, by, order, "__cost", "__run"))
+        taken.append(run.where("__run <= __left").select(*keys))
+        state = run.groupBy(*by).agg(
+            F.min(F.when(F.col("__run") > F.col("__left"), F.struct(*order))).alias("__first"), (F.max("__left") - F.coalesce(F.max(F.when(F.col("__run") <= F.col("__left"), F.col("__run"))), F.lit(0))).alias("__rest"),
+        ).where("__first is not null")
+        state = state.select(*[F.col(b).alias(f"{b}__k") for b in by], "__first", "__rest")
+        later = run.join(state, _same(run, state, by)).where((F.struct(*order) > F.col("__first")) & (F.col("__cost") <= F.col("__rest")))
+        pending = cut(later.select(*keys, "__cost", F.col("__rest").alias("__left")))
+        if not pending.head(1):
+            break
+    else:
+        raise RuntimeError("the budget was not settled within the rounds allowed")
+    accepted = reduce(DataFrame.unionByName, taken).select(*[F.col(k).alias(f"{k}__k") for k in keys], F.lit(True).alias("__yes"))
+    return rows.join(accepted, _same(rows, accepted, keys), "left").select(*rows.columns, F.coalesce("__yes", F.lit(False)).alias("accepted"))
 
 
 def high_water(rows: DataFrame, by: list[str], observed: str, limit: int) -> DataFrame:
@@ -39,20 +57,20 @@ def high_water(rows: DataFrame, by: list[str], observed: str, limit: int) -> Dat
 
 def run_budget(runs: DataFrame, by: list[str], order: list[str], cost: str, limit: int) -> DataFrame:
     """Runs with ``state``: executed while earlier runs have not used up the budget, then not-run; and what remains after each."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumns({"state": F.when(before < limit, "executed").otherwise("not-run"), "remaining": F.greatest(F.lit(limit) - upto, F.lit(0))})
+    upto = prefix_sum(runs, by, order, cost, "__upto")
+    before = F.col("__upto") - F.coalesce(F.col(cost), F.lit(0))
+    return upto.withColumns({"state": F.when(before < limit, "executed").otherwise("not-run"), "remaining": F.greatest(F.lit(limit) - F.col("__upto"), F.lit(0))}).drop("__upto")
 
 
 def evict(generations: DataFrame, by: list[str], retain: int, most_bytes: int) -> DataFrame:
-    """Generations with ``evicted``: oldest first while the rest is over ``most_bytes``, never one of the ``retain`` newest."""
-    newest = Window.partitionBy(*by).orderBy(F.desc("modified"), "key")
-    upto = newest.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = generations.withColumns({"age_rank": F.row_number().over(newest), "newer_bytes": F.sum("bytes").over(upto)})
-    # walking from the oldest, the bytes left when a generation's turn comes are those of it and all newer ones,
-    # unless a kept one below it was passed over: only retained ones are, and they are all newer
-    return ranked.withColumn("evicted", (F.col("age_rank") > retain) & (F.col("newer_bytes") > most_bytes)).drop("newer_bytes")
+    """Generations with ``evicted``: oldest first while the rest is over ``most_bytes``, never one of the ``retain`` newest.
+
+    When the turn of a generation comes, what is left is it and all newer ones, so
+    a running sum from the newest decides.
+    """
+    order = [F.desc("modified"), F.col("key")]
+    ranked = prefix_sum(rank(generations, by, order, "age_rank"), by, order, "bytes", "__newer")
+    return ranked.withColumn("evicted", (F.col("age_rank") > retain) & (F.col("__newer") > most_bytes)).drop("__newer")
 
 
 def edge_budget(edges: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
@@ -68,8 +86,7 @@ def presentation_budget(rows: DataFrame, by: list[str], limit: int) -> DataFrame
     ``rows``: by, importance (0 most important), seq, bytes. A row stays if it and
     all more important ones fit.
     """
-    w = Window.partitionBy(*by).orderBy("importance", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("kept", F.sum("bytes").over(w) <= limit)
+    return prefix_sum(rows, by, ["importance", "seq"], "bytes", "__upto").withColumn("kept", F.col("__upto") <= limit).drop("__upto")
 
 
 def cascade(children: DataFrame, kept_parents: DataFrame, key: str) -> DataFrame:

@@ -6,10 +6,11 @@ after partial sums. Rules are literals compiled into one pattern per classifier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import group_component, safe_component
+from lodestrata.operators.ordered import rank
 
 # Patterns of risky paths, risky content, generated paths and lock files, and size limits of groups.
 PATH_RISK = (
@@ -131,8 +132,8 @@ def top_churn(units: DataFrame, k: int = 5) -> DataFrame:
 def review_queue(units: DataFrame) -> DataFrame:
     """Each unit's place per repository: high risk, then medium by churn, then generated, then lock files."""
     kind = F.when(F.col("risk_tag") == "high-risk", 0).when(F.col("risk_tag") == "medium", 1).when(F.col("risk_tag") == "generated-like", 2).otherwise(3)
-    order = Window.partitionBy("repo_id").orderBy(kind, F.desc(F.col("additions") + F.col("deletions")), "path", "file_id")
-    return units.select("file_id", "repo_id", "risk_tag", F.row_number().over(order).alias("queue_no"))
+    keyed = units.select("file_id", "repo_id", "risk_tag", kind.alias("kind_"), (F.col("additions") + F.col("deletions")).alias("churn_"), "path")
+    return rank(keyed, ["repo_id"], ["kind_", F.desc("churn_"), "path", "file_id"], "queue_no").select("file_id", "repo_id", "risk_tag", "queue_no")
 
 
 def language(path: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The states of a ledger.
@@ -74,5 +74,4 @@ def verdicts(findings: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def first_available(inputs: DataFrame, by: list[str]) -> DataFrame:
     """The available input of the highest authority (least rank) per group; ties by name."""
-    w = Window.partitionBy(*by).orderBy("authority", "input")
-    return inputs.where("available").withColumn("k", F.row_number().over(w)).where("k = 1").select(*by, "input")
+    return inputs.where("available").groupBy(*by).agg(F.min_by("input", F.struct("authority", "input")).alias("input"))

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordered import _same, prefix_sum
+
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
-    """Value at rank ceil(n p / 100) per group."""
-    return df.groupBy(*by).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in percents], F.count(value).alias("n"))
+    """Value at rank ceil(n p / 100) per group; null values do not count.
+
+    Values are counted first; the rank is looked up in running counts, so that no
+    task holds all values of a group.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    running = prefix_sum(counted, by, ["__value"], "__n", "__upto")
+    totals = counted.groupBy(*by).agg(F.sum("__n").alias("n")).select(*[F.col(b).alias(f"{b}__k") for b in by], "n")
+    j = running.join(totals, _same(running, totals, by))
+    at = {f"p{p}": F.min(F.when(F.col("__upto") * 100 >= F.col("n") * p, F.col("__value"))) for p in percents}
+    return j.groupBy(*by).agg(*[c.alias(k) for k, c in at.items()], F.max("n").alias("n"))
 
 
 def gate_limit(p95: Column | str) -> Column:

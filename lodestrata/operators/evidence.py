@@ -7,10 +7,11 @@ the test of touched lines is a function of the row and not a range join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, ranks
+from lodestrata.operators import ordered
 from lodestrata.functions.ranks import BASELINE, CONFIDENCE, DISPOSITION, SEVERITY, rank, word
 
 KEY = ["repo_id", "tool", "rule_id", "message", "path", "start_line", "end_line"]
@@ -90,11 +91,11 @@ def assess(merged: DataFrame, units: DataFrame) -> DataFrame:
 
 def ranked(assessed: DataFrame) -> DataFrame:
     """Each finding's place per repository: disposition, severity, confidence, path, line, tool, rule, message."""
-    order = Window.partitionBy("repo_id").orderBy(
-        rank("disposition", DISPOSITION), F.desc(rank("severity", SEVERITY)), F.desc(rank("confidence", CONFIDENCE)), "path", F.coalesce("start_line", F.lit(0)), "tool", "rule_id", "message",
+    order = [
+        rank("disposition", DISPOSITION), F.desc(rank("severity", SEVERITY)), F.desc(rank("confidence", CONFIDENCE)), F.col("path"), F.coalesce("start_line", F.lit(0)), F.col("tool"), F.col("rule_id"), F.col("message"),
         F.coalesce("end_line", F.lit(0)),
-    )
-    return assessed.withColumn("place", F.row_number().over(order))
+    ]
+    return ordered.rank(assessed, ["repo_id"], order, "place")
 
 
 def counts(findings: DataFrame, assessed: DataFrame) -> DataFrame:
@@ -109,8 +110,8 @@ def counts(findings: DataFrame, assessed: DataFrame) -> DataFrame:
 
 def truncated(ranked_findings: DataFrame, most: int) -> DataFrame:
     """The first ``most`` findings per repository, each with whether more were left out; count before this."""
-    more = F.count("*").over(Window.partitionBy("repo_id")) > most
-    return ranked_findings.withColumn("truncated", more).where(F.col("place") <= most)
+    last = ranked_findings.groupBy("repo_id").agg((F.max("place") > most).alias("truncated"))
+    return ranked_findings.where(F.col("place") <= most).join(last, "repo_id")
 
 
 def union_evidence(parts: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,24 +219,27 @@ def expand_path(path: str, module: str):
     return F.array_join(absolute, "::")
 
 
-def ordered_imports(imports: DataFrame) -> DataFrame:
-    """Bindings in one pass per repository, ordered by (path, start_byte, segments): an export shows to later imports only.
+def ordered_imports(imports: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """Bindings per repository in the order (path, start_byte, segments): an export shows to later imports only.
 
-    ``imports``: repo_id, path, start_byte, segments (``::`` joined), name, exported.
+    ``imports``: repo_id, path, start_byte, segments (``::`` joined), name, exported; unique in their order. Each import
+    is linked to the last earlier export of that name by one window per (repository, name); chains of links are then
+    followed by pointer jumping, so the work is a few joins and no task sees a whole repository.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path", "start_byte", "segments"], kind="stable")
-        seen: dict[str, str] = {}
-        rows = []
-        for r in pdf.itertuples(index=False):
-            target = seen.get(r.segments, r.segments)
-            rows.append((r.repo_id, r.path, r.start_byte, r.name, target, target != r.segments))
-            if r.exported:
-                seen[r.name] = target
-        return pd.DataFrame(rows, columns=["repo_id", "path", "start_byte", "name", "target", "through_export"])
-
-    return imports.groupBy("repo_id").applyInPandas(fold, "repo_id string, path string, start_byte bigint, name string, target string, through_export boolean")
+    order = F.struct("path", "start_byte", "segments", "name")
+    rows = cut(imports.withColumn("ord", order))
+    asks = rows.select("repo_id", F.col("segments").alias("key"), "ord", F.lit(0).alias("turn"), F.lit(None).cast(rows.schema["ord"].dataType).alias("export"))
+    tells = rows.where("exported").select("repo_id", F.col("name").alias("key"), "ord", F.lit(1).alias("turn"), F.col("ord").alias("export"))
+    w = Window.partitionBy("repo_id", "key").orderBy("ord", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    linked = asks.unionByName(tells).withColumn("link", F.last("export", ignorenulls=True).over(w)).where("turn = 0").select("repo_id", "ord", "link")
+    state = cut(linked.withColumn("target", F.when(F.col("link").isNull(), F.col("ord.segments"))).withColumn("through_export", F.col("link").isNotNull()))
+    for _ in range(most_rounds):
+        if not state.where("target is null").head(1):
+            break
+        there = state.select(F.col("repo_id").alias("r"), F.col("ord").alias("o"), F.col("link").alias("next"), F.col("target").alias("known"))
+        j = state.join(there, (state.repo_id == there.r) & (state.link == there.o), "left")
+        state = cut(j.select("repo_id", "ord", F.coalesce("next", "link").alias("link"), F.coalesce("target", "known").alias("target"), "through_export"))
+    return state.select("repo_id", "ord.path", "ord.start_byte", "ord.name", "target", "through_export")
 
 
 def surviving_edges(base: DataFrame, facts: DataFrame) -> DataFrame:

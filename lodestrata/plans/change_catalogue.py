@@ -134,7 +134,7 @@ SELECT w.file_id, w.repo_id, w.group_id AS parent_group_id, CASE WHEN h.hunk_no
   CASE WHEN h.hunk_no IS NULL THEN 'file' ELSE 'hunk' END AS split_kind, coalesce(h.hunk_header, 'none') AS hunk_header, coalesce(h.hunk_bytes, 0) AS hunk_bytes
 FROM want w LEFT JOIN hunk h ON h.split_id = w.file_id""",
         "review_queue": f"""WITH {UNITS} SELECT file_id, repo_id, risk_tag, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY
-  CASE risk_tag WHEN 'high-risk' THEN 0 WHEN 'medium' THEN 1 WHEN 'generated-like' THEN 2 ELSE 3 END, additions + deletions DESC, path, file_id) AS INT) AS queue_no FROM unit""",
+  CASE risk_tag WHEN 'high-risk' THEN 0 WHEN 'medium' THEN 1 WHEN 'generated-like' THEN 2 ELSE 3 END, additions + deletions DESC, path, file_id) AS BIGINT) AS queue_no FROM unit""",
         "dependency_lines": rf"""WITH {LINES}, b AS (SELECT split_id, line_no, substr(line, 2) AS t FROM line WHERE line LIKE '+%' AND line NOT LIKE '+++%'),
 k AS (SELECT split_id, CAST(line_no AS INT) AS line_no, CASE WHEN regexp_matches(t, '^\s*(import|from|use|require|include)\b') THEN 'import' WHEN regexp_matches(t, '^\s*(export|pub)\b') THEN 'export'
   WHEN regexp_matches(t, '^\s*(async\s+)?(fn|def|function|class|struct|interface)\b') THEN 'signature' WHEN regexp_matches(t, '(?i)^\s*(create|alter|drop)\s+(table|index|view)\b') THEN 'schema' END AS kind FROM b)

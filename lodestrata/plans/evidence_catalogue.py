@@ -90,7 +90,7 @@ assessed AS (SELECT *, CASE WHEN line_scope = 'outside-scope' THEN 'outside-scop
         "disposition": f"WITH {assess} SELECT {', '.join(OUT)} FROM assessed",
         "evidence_rank": f"""WITH {assess}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {rk('disposition', ev.DISPOSITION)}, {rk('severity', ev.SEVERITY)} DESC, {rk('confidence', ev.CONFIDENCE)} DESC,
   path, coalesce(start_line, 0), tool, rule_id, message, coalesce(end_line, 0)) AS place, count(*) OVER (PARTITION BY repo_id) AS n FROM assessed)
-SELECT repo_id, CAST(place AS INT) AS place, finding_id, disposition, n > 20 AS truncated FROM r WHERE place <= 20""",
+SELECT repo_id, CAST(place AS BIGINT) AS place, finding_id, disposition, n > 20 AS truncated FROM r WHERE place <= 20""",
         "evidence_counts": f"""WITH {assess}, a AS (SELECT repo_id, count(*) AS input_findings, count(DISTINCT report_id) AS reports FROM finding GROUP BY repo_id),
 b AS (SELECT repo_id, count(*) AS deduplicated_findings, count(unit_id) AS mapped_to_units, count(*) FILTER (WHERE line_scope = 'added') AS added_line,
   count(*) FILTER (WHERE disposition = 'blocking-candidate') AS blocking_candidates, count(*) FILTER (WHERE disposition = 'priority-candidate') AS priority_candidates,

@@ -118,7 +118,7 @@ def queries():
         "presentation_budget": lambda s, d: b.presentation_budget(docs(s, d).select("repo_id", F.length("source").alias("importance"), F.col("doc_id").alias("seq"), "bytes").fillna(99, ["importance"]), ["repo_id"], 30_000).select("seq", "kept"),
         "keep_best_dedup": lambda s, d: nm.keep_best(facts(s, d).select(ids.stable_id("best/v1", "repo_id", "kind").alias("id"), "confidence", "fact_id"), "id", ["fact_id"]),
         "first_wins_dedup": lambda s, d: nm.first_wins(facts(s, d).select(ids.stable_id("first/v1", "path", "kind").alias("id"), "rule_id", "fact_id"), "id", ["fact_id"]),
-        "fact_union_keep_best": lambda s, d: nm.evidence_ids(facts(s, d), ["repo_id", "kind"]),
+        "fact_union_keep_best": lambda s, d: nm.evidence_ids(facts(s, d), ["repo_id", "path", "kind"]),
         "fact_to_edges": fact_edges,
         "unit_summaries": lambda s, d: nm.unit_summaries(facts(s, d)),
         "coverage_report": coverage_report,
@@ -167,12 +167,12 @@ SELECT doc_id, accepted FROM f""",
         "run_budget": f"""WITH {DOCS}, r AS (SELECT doc_id, bytes, sum(bytes) OVER (PARTITION BY repo_id, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM docs)
 SELECT doc_id, CASE WHEN upto - bytes < 6000 THEN 'executed' ELSE 'not-run' END AS state, CAST(greatest(6000 - upto, 0) AS BIGINT) AS remaining FROM r""",
         "retention_evict": f"""WITH {ENTRIES}, r AS (SELECT entry_id AS key, CAST(row_number() OVER w AS INT) AS age_rank, sum(bytes) OVER (w ROWS UNBOUNDED PRECEDING) AS newer FROM entries WINDOW w AS (PARTITION BY repo_id ORDER BY observed_at DESC, entry_id))
-SELECT key, age_rank, age_rank > 3 AND newer > 9000 AS evicted FROM r""",
+SELECT key, CAST(age_rank AS BIGINT) AS age_rank, age_rank > 3 AND newer > 9000 AS evicted FROM r""",
         "edge_budget_limitations": f"WITH {edge_sql}, k AS (SELECT *, row_number() OVER (ORDER BY kind, edge_id) AS n FROM edge WHERE kind <> 'calls') SELECT 'edge-budget-exhausted' AS code, path, kind, count(*) AS lost FROM k WHERE n > 60 GROUP BY path, kind",
         "presentation_budget": f"WITH {DOCS}, r AS (SELECT doc_id AS seq, sum(bytes) OVER (PARTITION BY repo_id ORDER BY coalesce(length(source), 99), doc_id ROWS UNBOUNDED PRECEDING) AS t FROM docs) SELECT seq, t <= 30000 AS kept FROM r",
         "keep_best_dedup": f"WITH {fact}, k AS (SELECT substr(sha256('best/v1' || chr(0) || repo_id || chr(0) || kind || chr(0)), 1, 16) AS id, confidence, fact_id FROM fact) SELECT id, arg_min(confidence, (-({q(0)}), fact_id)) AS confidence, arg_min(fact_id, (-({q(0)}), fact_id)) AS fact_id FROM k GROUP BY id",
         "first_wins_dedup": f"WITH {fact}, k AS (SELECT substr(sha256('first/v1' || chr(0) || path || chr(0) || kind || chr(0)), 1, 16) AS id, rule_id, fact_id FROM fact) SELECT id, arg_min(rule_id, fact_id) AS rule_id, min(fact_id) AS fact_id FROM k GROUP BY id",
-        "fact_union_keep_best": "SELECT repo_id, kind, list_sort(list(DISTINCT fact_id)) AS evidence_fact_ids FROM normalized_fact GROUP BY repo_id, kind",
+        "fact_union_keep_best": "SELECT repo_id, path, kind, list_sort(list(DISTINCT fact_id)) AS evidence_fact_ids FROM normalized_fact GROUP BY repo_id, path, kind",
         "fact_to_edges": f"""WITH {fact},
 s AS (SELECT provider_id, path, CASE WHEN kind IN ('storage', 'cache') THEN 'import' WHEN kind = 'network' THEN 'call' WHEN kind = 'broker' THEN 'macro' ELSE kind END AS kind, rule_id AS name, confidence = 'high' AS pub, fact_id AS identity,
   CASE WHEN confidence IS DISTINCT FROM 'low' THEN 'medium' ELSE 'low' END AS confidence FROM fact),
