@@ -103,7 +103,6 @@ def queries():
         "fact_store": fact_store,
         "rust_symbols": lambda s, d: syntax.symbols(fact_catalogue.texts(s, d)),
         "rust_calls": lambda s, d: syntax.calls(fact_catalogue.texts(s, d)).groupBy("file_id", "name", "is_macro").agg(F.count("*").alias("n")),
-        "rust_imports": lambda s, d: syntax.imports(fact_catalogue.texts(s, d)),
         "evidence_by_sarif": lambda s, d: evidence_catalogue.ev.merge(reports.sarif(sarif_reports(s, d)).withColumn("repo_id", F.element_at(F.split("report_id", "@"), 2)).select("repo_id", *reports.OUT)).groupBy("severity").agg(F.count("*").alias("n")),
     }
 
