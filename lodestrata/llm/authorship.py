@@ -65,8 +65,22 @@ HOLDER = re.compile(r"(?i)copyright (?:\(c\) |© )?(?:\d{4}(?:-\d{4})? )?([A-Z
 SOURCE_MAP = re.compile(r"[#@] ?sourceMappingURL=")
 WEIGH = re.compile(rb"[A-Za-z0-9+/=]{60,}")
 ROW = re.compile(rb"^[ \t]*(?:[\[({]?[ \t]*(?:0x[0-9a-fA-F]+|-?\d[\d.]*|\"[^\"\n]{0,40}\" ?: ?[^,\n]{1,40})(?:[ \t]*[,:)\]}]+[ \t]*|$)){2,}|^[ \t]*\"[A-Za-z0-9+/=]{40,}\"[,)]?[ \t]*\r?$", re.M)
-TRIGGERS = (b"enerat", b"edit", b"vendor", b"upstream", b"copyright", b"(c)", b"licen", b"spdx", b"modif", b"machine", b"sourcemap", b"local copy", b"rerun", b"bearbeiten", b"\xe8\x87\xaa\xe5", b"by hand", b" \xc2\xa9", b"imported", b"copied", b"manual")
-VERSIONED = re.compile(rb"(?m)^\W{0,4}[\w.-]+ v?\d+\.\d+\.\d+")
+TRIGGERS = (
+    "enerat", "erzeugt", "edit", "vendor", "upstream", "copyright", "(c)", "licen", "spdx", "modif", "machine", "sourcemap", "local copy", "rerun", "bearbeiten", "自动", "自動", "by hand", "©", "imported", "copied", "manual",
+)
+VERSIONED = re.compile(r"(?m)^[^\w\n]{0,6}[\w.-]+ v?\d+\.\d+\.\d+")
+
+
+@lru_cache(maxsize=1)
+def triggers():
+    """Finds the lines that may be notices."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in TRIGGERS:
+        a.add_word(w, 1)
+    a.make_automaton()
+    return a
 
 
 def text_of(raw: bytes) -> str:
@@ -86,32 +100,38 @@ def notices(text: str) -> tuple[list[tuple[str, str]], list[str], list[tuple[int
     the file is kept by hand, is one of kind ``hand``.
     """
     found, holders, spans = [], [], []
+    low = text.lower()
+    if len(low) != len(text):  # a few letters change length in lower case; then places are those of the ASCII form
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    hits = {low.rfind("\n", 0, end) + 1 for end, _ in triggers().iter(low)}
+    hits.update(m.start() for m in VERSIONED.finditer(text))
+    if not hits:
+        return found, holders, spans
     n_lines = text.count("\n") + 1
-    at = no = 0
-    while at <= len(text):
+    for at in sorted(hits):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
-        if end - at < 400 and COMMENT.match(text, at):
-            line = text[at:end].strip()
-            place = "head" if no < 4 else "tail" if no > n_lines - 5 else "inner"
-            kind = None
-            if BY_HAND.search(line) and (re.search(r"(?i)generat|vendor|minif|edit", line)) and not re.search(r"(?i)modify by hand|modify this", line):
-                kind = "hand"
-            elif GENERATED.search(line):
-                kind = "generated"
-            elif FOREIGN.search(line):
-                kind = "foreign"
-            elif SOURCE_MAP.search(line):
-                kind = "map"
-            elif m := HOLDER.search(line):
-                holders.append(re.sub(r"(?i)[\s.]*all rights reserved.*", "", m[1]).strip())
-                kind = "holder"
-            if kind:
-                spans.append((at, end))
-                if kind != "holder":
-                    found.append((kind, place))
-        at = end + 1
-        no += 1
+        if end - at >= 400 or not COMMENT.match(text, at):
+            continue
+        line = text[at:end].strip()
+        no = text.count("\n", 0, at)
+        place = "head" if no < 4 else "tail" if no > n_lines - 5 else "inner"
+        kind = None
+        if BY_HAND.search(line) and re.search(r"(?i)generat|vendor|minif|edit", line) and not re.search(r"(?i)modify by hand|modify this", line):
+            kind = "hand"
+        elif GENERATED.search(line):
+            kind = "generated"
+        elif FOREIGN.search(line):
+            kind = "foreign"
+        elif SOURCE_MAP.search(line):
+            kind = "map"
+        elif m := HOLDER.search(line):
+            holders.append(re.sub(r"(?i)[\s.]*all rights reserved.*", "", m[1]).strip())
+            kind = "holder"
+        if kind:
+            spans.append((at, end))
+            if kind != "holder":
+                found.append((kind, place))
     return found, holders, spans
 
 
@@ -173,12 +193,8 @@ class Masked:
 
     def __init__(self, path: str, raw: bytes):
         self.path = path
-        low = raw.lower() if len(raw) < 1 << 22 else raw
-        self.notes, self.holders, spans = [], [], []
-        text = None
-        if any(t in low for t in TRIGGERS) or VERSIONED.search(raw):
-            text = text_of(raw)
-            self.notes, self.holders, spans = notices(text)
+        text = text_of(raw)
+        self.notes, self.holders, spans = notices(text)
         if spans:
             kept, at = [], 0
             for s, e in spans:
@@ -226,22 +242,26 @@ class Masked:
         return "hand"
 
 
-def example(names: list[str], body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values: named features with weight 1, the n-grams with their relative frequency."""
-    named = np.array([_slot(n) for n in names], np.int64)
+def gram_values(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the n-grams, and the roots of their relative frequencies."""
     slots, counts = np.unique(gram_slots(body), return_counts=True)
-    values = np.sqrt(counts / max(1, counts.sum())) * 2.0
-    return np.concatenate([named, slots]), np.concatenate([np.ones(len(named)), values])
+    return slots.astype(np.int32), (np.sqrt(counts / max(1, counts.sum())) * 2.0).astype(np.float32)
+
+
+def named_slots(names: list[str]) -> np.ndarray:
+    """Slots of named features, whose values are 1."""
+    return np.array([_slot(n) for n in names], np.int32)
 
 
 class Machines:
     """One linear support-vector machine per kind (averaged stochastic subgradient, Pegasos steps)."""
 
-    def __init__(self, weights: np.ndarray, cut_at: np.ndarray):
-        self.weights, self.cut_at = weights, cut_at
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.by_slot = np.ascontiguousarray(weights.T)  # one slot's weights lie together
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, str, float]], passes: int = 8, ridge: float = 2e-5, seed: int = 5) -> Machines:
+    def fit(cls, rows: list[tuple[np.ndarray, tuple[np.ndarray, np.ndarray], str, float]], passes: int = 8, ridge: float = 2e-5, seed: int = 5) -> Machines:
         r = np.random.default_rng(seed)
         weights = np.zeros((len(KINDS), 1 << BITS), np.float32)
         for k, kind in enumerate(KINDS):
@@ -254,16 +274,18 @@ class Machines:
                 for i in r.permutation(len(rows)):
                     step += 1
                     eta = 0.05 / (1 + 0.05 * ridge * step)
-                    slots, values, _, weight = rows[i]
+                    named, (grams, shares), _, weight = rows[i]
+                    slots = np.concatenate([named, grams])
+                    values = np.concatenate([np.ones(len(named), np.float32), shares])
                     margin = y[i] * scale * (w[slots] @ values)
                     scale *= 1 - eta * ridge
                     if margin < 1:
                         np.add.at(w, slots, weight * (boost if y[i] > 0 else 1.0) * eta * y[i] * values / scale)
             weights[k] = w * scale
-        return cls(weights, np.zeros(len(KINDS)))
+        return cls(weights)
 
-    def scores(self, slots: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return self.weights[:, slots] @ values
+    def scores(self, named: np.ndarray, grams: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return self.by_slot[named].sum(0) + grams[1] @ self.by_slot[grams[0]]
 
 
 READ = "file_id bigint, repo_id string, path string, label string, holders array<string>, sketch array<bigint>, n_bytes bigint"
@@ -307,7 +329,8 @@ def classified(content: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFr
         in_text = label in ("hand", "minified", "data") or shared >= 5
         by_path = any(v.startswith("V:") for v in views[1])
         tells = (True, in_text or by_path, in_text or bool(m.notes or m.holders), in_text)
-        ready = [(*example([*v, group], m.body), label, 1.0 if told else MASKED_WEIGHT) for v, told in zip(views, tells)]
+        grams = gram_values(m.body)  # held once for all views
+        ready = [(named_slots([*v, group]), grams, label, 1.0 if told else MASKED_WEIGHT) for v, told in zip(views, tells)]
         if _slot(f"repo:{repo}") % 5 == 0:
             held.append((ready, label))
         else:
@@ -320,12 +343,12 @@ def classified(content: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFr
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, holder = sent.value
-        fitted = Machines(weights, np.zeros(len(KINDS)))
+        fitted = Machines(weights)
         for batch in batches:
             out = np.zeros((len(batch), len(KINDS)), np.float32)
             for i, (path, raw) in enumerate(zip(batch["path"], batch["bytes"])):
                 m = Masked(path, raw)
-                out[i] = fitted.scores(*example(m.view(holder), m.body))
+                out[i] = fitted.scores(named_slots(m.view(holder)), gram_values(m.body))
             yield pd.DataFrame({"repo_id": batch["repo_id"], "path": batch["path"], **{f"s{k}": out[:, k] for k in range(len(KINDS))}})
 
     scored = source.mapInPandas(score, schema)
@@ -366,8 +389,7 @@ def _validate(machines: Machines, held: list) -> dict:
     for name, at in (("whole", 0), ("notices_masked", 1)):
         hit = wrong = missed = 0
         for ready, label in held:
-            slots, values = ready[at][:2]
-            said = machines.scores(slots, values).max() > 0
+            said = machines.scores(*ready[at][:2]).max() > 0
             hit += said and label != "hand"
             wrong += said and label == "hand"
             missed += (not said) and label != "hand"
