@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUL = F.lit("\0")
+NUL = "\0"
 
 
 def _text(value: Column | str) -> Column:
@@ -14,9 +14,9 @@ def _text(value: Column | str) -> Column:
 
 def stable_id(namespace: str, *fields: Column | str) -> Column:
     """First 16 hex digits of SHA-256 over the namespace and the fields, each ended by NUL; null counts as empty."""
-    parts = [F.lit(namespace), NUL]
+    parts = [F.lit(namespace), F.lit(NUL)]
     for field in fields:
-        parts += [_text(field), NUL]
+        parts += [_text(field), F.lit(NUL)]
     return F.substring(F.sha2(F.concat(*parts), 256), 1, 16)
 
 
@@ -24,7 +24,7 @@ def bare_id(*fields: Column | str) -> Column:
     """``stable_id`` without a namespace."""
     parts: list[Column] = []
     for field in fields:
-        parts += [_text(field), NUL]
+        parts += [_text(field), F.lit(NUL)]
     return F.substring(F.sha2(F.concat(*parts), 256), 1, 16)
 
 
@@ -40,7 +40,7 @@ def prefixed_digest(*fields: Column | str) -> Column:
 def git_blob_id(content: Column | str) -> Column:
     """SHA-1 of ``blob <length> NUL <bytes>``, as version control names contents."""
     data = F.col(content) if isinstance(content, str) else content
-    head = F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string"), NUL), "UTF-8")
+    head = F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string"), F.lit(NUL)), "UTF-8")
     return F.sha1(F.concat(head, data))
 
 

@@ -91,7 +91,7 @@ def column_of(text: Column | str, position: Column) -> Column:
 
 def lossy_utf8(content: Column | str) -> Column:
     """Bytes as text; what is not UTF-8 becomes U+FFFD."""
-    return F.decode(col(content), "UTF-8")
+    return F.make_valid_utf8(col(content).cast("string"))
 
 
 def is_binary(content: Column | str, window: int = 8192) -> Column:

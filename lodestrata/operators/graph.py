@@ -13,15 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ids
-from lodestrata.lineage import cut, rows_at_most
-
-#: A frontier is broadcast up to this many nodes.
-FRONTIER_ROWS = 100_000
-
-
-def _held(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if rows_at_most(df, FRONTIER_ROWS) else df
-
+from lodestrata.lineage import cut, small
 
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, directions: tuple[str, ...] = ("incoming", "outgoing"), kinds: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(edges with their least level, nodes with their depth) within ``depth`` steps of the roots.
@@ -34,7 +26,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, directions: tuple[str, .
     nodes = cut(roots.select(F.col("node"), F.lit(0).alias("depth")).distinct())
     frontier, found = nodes.select("node"), []
     for level in range(1, depth + 1):
-        held = _held(frontier)
+        held = small(frontier)
         steps = []
         if "outgoing" in directions:
             steps.append(edges.join(held, edges.from_symbol == held.node).select(*edges.columns, F.col("to_symbol").alias("next")))
@@ -58,7 +50,7 @@ def bounded_bfs(edges: DataFrame, roots: DataFrame, max_rows: int, max_edges: in
     order; of those at most ``max_edges`` are kept in (node, direction, edge_id)
     order. What was cut is told by a limitation, never silently.
     """
-    held = _held(roots.select("node").distinct())
+    held = small(roots.select("node").distinct())
     out = edges.join(held, edges.from_symbol == held.node).select("node", F.lit("outgoing").alias("direction"), "kind", "edge_id")
     into = edges.join(held, edges.to_symbol == held.node).select("node", F.lit("incoming").alias("direction"), "kind", "edge_id")
     lookup = Window.partitionBy("node", "direction")
@@ -100,7 +92,7 @@ def reverse_dependents(edges: DataFrame, changed: DataFrame, kinds: tuple[str, .
     known = cut(changed.select("symbol", F.lit(0).alias("round")).distinct())
     frontier = known.select("symbol")
     for turn in range(1, most_rounds + 1):
-        held = _held(frontier)
+        held = small(frontier)
         new = uses.join(held, uses.to_symbol == held.symbol, "left_semi").select(F.col("from_symbol").alias("symbol")).distinct()
         frontier = cut(new.join(known, "symbol", "left_anti"))
         if not frontier.head(1):

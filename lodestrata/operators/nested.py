@@ -126,16 +126,20 @@ class SchemaGraph:
         return sorted(set(out))
 
 
-def _items(graph: SchemaGraph, element: str, value) -> tuple[list[tuple[str | None, object]], bool]:
-    """The occurrences of ``element`` in ``value`` with their map keys, and whether they repeat."""
+def _items(graph: SchemaGraph, element: str, value) -> tuple[list[tuple[str | None, object]], str]:
+    """The occurrences of ``element`` in ``value`` with their map keys, and their form: ``many``, ``listed`` or ``bare``.
+
+    A list of one may be a singleton written as a list; the element repeats if it
+    is ever listed otherwise, or never written bare.
+    """
     value = opened(value)
     if value is None:
-        return [], False
+        return [], ""
     if isinstance(value, list):
-        return [(None, opened(v)) for v in value if v is not None], len(value) > 1
+        return [(None, opened(v)) for v in value if v is not None], "many" if len(value) > 1 else "listed"
     if isinstance(value, dict) and graph.is_map(element, value):
-        return [(k, opened(v)) for k, v in value.items()], True
-    return [(None, value)], False
+        return [(k, opened(v)) for k, v in value.items()], "many"
+    return [(None, value)], "bare"
 
 
 def _fields_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +165,7 @@ def _fields_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _edges(graph: SchemaGraph):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: dict[tuple[str, str], tuple[bool, bool]] = {}
+            found: dict[tuple[str, str], list[bool]] = {}
             for text in batch["payload"]:
                 try:
                     todo = [(ROOT, decoded(text))]
@@ -176,13 +180,15 @@ def _edges(graph: SchemaGraph):
                         continue
                     for child, inner in value.items():
                         inner = opened(inner)
-                        items, many = _items(graph, child, inner)
-                        deep = any(isinstance(v, (dict, list)) for _, v in items)
-                        old = found.get((name, child), (False, False))
-                        found[name, child] = (old[0] or deep, old[1] or many)
+                        items, form = _items(graph, child, inner)
+                        seen = found.setdefault((name, child), [False] * 4)
+                        seen[0] |= any(isinstance(v, (dict, list)) for _, v in items)
+                        seen[1] |= form == "many"
+                        seen[2] |= form == "listed"
+                        seen[3] |= form == "bare"
                         todo.extend((child, v) for _, v in items if isinstance(v, (dict, list)))
-            rows = [(p, c, deep, many) for (p, c), (deep, many) in found.items()]
-            yield pd.DataFrame(rows, columns=["parent", "child", "deep", "many"])
+            rows = [(p, c, *seen) for (p, c), seen in found.items()]
+            yield pd.DataFrame(rows, columns=["parent", "child", "deep", "many", "listed", "bare"])
 
     return run
 
@@ -273,11 +279,13 @@ def _narrow(pairs: DataFrame, key: str, max_fields: int, most: int = 50_000) ->
 
 
 def shared_inlining(
-    df: DataFrame, id_col: str, payload_col: str, force_tables: tuple[str, ...] = (), max_fields: int = 400
+    df: DataFrame, id_col: str, payload_col: str, force_tables: tuple[str, ...] = (), max_fields: int = 400, item_hints: dict[str, set[str]] | None = None,
 ) -> FlatTables:
     """Shred ``df[payload_col]`` (JSON) into flat tables keyed by ``df[id_col]``.
 
     ``force_tables``: elements that keep a table even if they could be inlined.
+    ``item_hints``: fields of an element's items that are known beforehand; they
+    tell its maps apart even where these data hold no list of it.
     ``max_fields``: an object element with more distinct keys than that holds
     data in its keys and is read as a map of items. What the driver collects is
     the schema graph only: at most ``max_fields`` children for each element.
@@ -288,14 +296,16 @@ def shared_inlining(
     graph = SchemaGraph(forced=frozenset(force_tables))
     for row in _narrow(listed, "element", max_fields)[0]:
         graph.item_fields.setdefault(row.element, set()).add(row.field)
+    for element, fields in (item_hints or {}).items():
+        graph.item_fields.setdefault(element, set()).update(fields)
     for _ in range(8):  # a map inside a map inside .. shows only once the outer one is known
-        edges = payloads.mapInPandas(_edges(graph), "parent string, child string, deep boolean, many boolean")
-        edges = edges.groupBy("parent", "child").agg(F.max("deep").alias("deep"), F.max("many").alias("many"))
+        edges = payloads.mapInPandas(_edges(graph), "parent string, child string, deep boolean, many boolean, listed boolean, bare boolean")
+        edges = edges.groupBy("parent", "child").agg(*[F.max(c).alias(c) for c in ("deep", "many", "listed", "bare")])
         found, wide = _narrow(edges, "parent", max_fields)
         if not set(wide) - graph.maps - {ROOT}:
             break
         graph.maps |= set(wide) - {ROOT}
-    graph.edges = {(r.parent, r.child): (r.deep, r.many) for r in found}
+    graph.edges = {(r.parent, r.child): (r.deep, r.many or r.listed and not r.bare) for r in found}
     return FlatTables(graph, cut(source.mapInPandas(_shred(graph), LONG)))
 
 
@@ -304,6 +314,14 @@ def column_or_null(table: DataFrame, name: str):
     return F.col(f"`{name}`") if name in table.columns else F.lit(None).cast("string")
 
 
+# Fields of the repeated parts of publications.
+PUBLICATION_ITEMS = {
+    "platforms": {"platform_id", "license_files", "executable", "baseline_binding", "subjects", "composition", "published"},
+    "packs": {"platform_id", "license_files", "executable", "pack_sha256", "published", "state", "artifact_id"},
+    "license_files": {"path", "size", "sha256"}, "executable": {"path", "size", "sha256"}, "baseline_binding": {"fixture_id", "fixture_sha256", "profile_sha256", "toolchain"},
+}
+
+
 def publication_tables(raw: DataFrame) -> dict[str, DataFrame]:
     """records, platforms, license_files, bindings and executables of publication payloads.
 
@@ -311,7 +329,7 @@ def publication_tables(raw: DataFrame) -> dict[str, DataFrame]:
     License files, bindings and executables are those that a platform or pack
     itself lists, not those quoted deeper inside its attestations.
     """
-    flat = shared_inlining(raw, "record_id", "payload", force_tables=("baseline_binding", "executable", "license_files", "platforms", "packs"))
+    flat = shared_inlining(raw, "record_id", "payload", force_tables=tuple(sorted(PUBLICATION_ITEMS)), item_hints=PUBLICATION_ITEMS)
     own = F.col("parent_table").isin("platforms", "packs")
 
     def of(name: str, **columns: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import cut
+from lodestrata.lineage import cut, small
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -29,11 +29,12 @@ def prefix_sum(rows: DataFrame, by: list[str], order: list[str | Column], value:
     spread = rows.withColumn("__v", F.coalesce(v, F.lit(0)).cast("bigint")).repartitionByRange(parts, *by, *order)
     held = cut(spread.withColumn("__part", F.spark_partition_id()))
     sums = held.groupBy(*by, "__part").agg(F.sum("__v").alias("__s"))
+    sums = cut(sums)
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*[F.col(b).alias(f"{b}__k") for b in by], F.col("__part").alias("__part__k"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = held.withColumn("__local", F.sum("__v").over(within))
-    joined = local.join(before, _same(local, before, [*by, "__part"]))
+    joined = local.join(small(before), _same(local, before, [*by, "__part"]))
     return joined.withColumn(name, F.col("__before") + F.col("__local")).select(*rows.columns, name)
 
 
