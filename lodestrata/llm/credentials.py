@@ -251,7 +251,7 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
                     e = s + len(value)
                 if quoted:
                     at = max(at, min(m.end(), s))
-                if in_data and re.fullmatch(r"[A-Za-z0-9+/]{8,}={0,2}", value) and len(value) % 4 == 0:
+                if in_data and re.fullmatch(r"[A-Za-z0-9+/]{8,}={0,2}", value) and len(value) % 4 == 0 and not PLACEHOLDER.match(value):
                     add(no, start + s, start + e, "encoded-data", key)
                     continue
                 if not (quoted or config or comment or "=" in m[0] and re.match(r"\s*(?:export|env|set|arg)\s", line, re.I) or not CODE.search(line) and not line.rstrip().endswith((";", "{", ","))):

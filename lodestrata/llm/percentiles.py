@@ -29,11 +29,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import cut, rows_at_most
-
-#: Intervals are broadcast up to this many rows (some 100 bytes each).
-BROADCAST_ROWS = 200_000
-
+from lodestrata.lineage import cut, small
 
 def weights(df: DataFrame, groups: Sequence[str], value: str, part: str | None = None, least: int | None = None) -> DataFrame:
     """(groups, [part], value, n): how often each value occurs; counted before the shuffle."""
@@ -76,7 +72,6 @@ def percentiles(
     spans = counted.groupBy(*groups).agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     spans = spans.select(*groups, "n", "lo", "hi", F.explode(targets).alias("t"))
     state = cut(spans.select(*groups, "n", "lo", "hi", "t.pct", F.col("t.rank").alias("rank")))  # rank: within [lo, hi]
-    small = rows_at_most(state, BROADCAST_ROWS)
     wide = F.col("hi") - F.col("lo") > F.floor(F.abs(F.col("lo")) * F.lit(error))
     for _ in range(most_passes):
         if not state.where(wide).head(1):
@@ -85,8 +80,7 @@ def percentiles(
             *[F.col(g).alias(f"k_{g}") for g in groups], "pct", "lo", "rank",
             F.expr(f"(hi - lo) div {sections} + 1").alias("step"),
         )
-        side = F.broadcast(open_) if small else open_
-        inside = counted.join(side, _same(counted, open_, groups)).where(
+        inside = counted.join(small(open_), _same(counted, open_, groups)).where(
             (F.col("value") >= F.col("lo")) & (F.expr(f"(value - lo) div step < {sections}"))
         )
         keys = [*[F.col(f"k_{g}").alias(f"k_{g}") for g in groups], "pct"]
@@ -97,7 +91,8 @@ def percentiles(
             *[f"k_{g}" for g in groups], F.col("pct").alias("k_pct"), F.expr("lo + section * step").alias("new_lo"),
             "step", (F.col("rank") - (F.col("upto") - F.col("m"))).alias("new_rank"),
         )
-        joined = state.join(hit, _same(state, hit, groups) & (state.pct == hit.k_pct), "left")
+        hit = cut(hit)
+        joined = state.join(small(hit), _same(state, hit, groups) & (state.pct == hit.k_pct), "left")
         state = cut(joined.select(
             *[state[g] for g in groups], "n", F.coalesce("new_lo", "lo").alias("lo"),
             F.when(F.col("new_lo").isNull(), F.col("hi")).otherwise(F.least("hi", F.expr("new_lo + step - 1"))).alias("hi"),

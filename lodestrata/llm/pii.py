@@ -98,6 +98,8 @@ def _numbers(text: str) -> Iterator[Segment]:
     for m in NUMBER.finditer(text):
         s, e = m.span()
         digits = sum(c.isdigit() for c in m[0])
+        if not re.search(r"\d\d", m[0]):
+            continue
         for kind in ("phone", "id_number"):
             if digits >= 7 and e - s <= 40:
                 yield Segment(s, e, kind, "number")
