@@ -44,6 +44,8 @@ SHAPES = re.compile(
 SHAPE_START = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{3}|gh[posur]_\w{4}|github_pat_|glpat-\w|npm_\w{6}|xox[abpsr]-\d|[sr]k_live_|pcrk-[0-9a-f]|eyJ\w{8}")
 HALVES = re.compile(r"\(in (?:two|three|\d+) (?:halves|parts|pieces)\)\s*[:=]\s*(\S+(?:\s+[/+|]\s+\S+)+)")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
+PEM_EDGE = re.compile(r"-----(?:END|BEGIN) [A-Z0-9 ]*KEY(?: BLOCK)?-----")
+PEM_BODY = re.compile(r"(?m)^[ \t]*(?://+|#+|--|\*|;+)?[ \t]*([A-Za-z0-9+/]{8,}={0,2})[ \t]*\r?$")
 URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`]*:([^\s@\"'`]{1,200})@[A-Za-z0-9\[]")
 AUTH = re.compile(r"(?i)\bauthorization\b[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic|token|apikey|digest)\s+)([A-Za-z0-9+/=_.~-]{8,})")
 FLAG = re.compile(r"(?i)(?:^|\s)--?(?:[a-z]+-)*(password|passwd|pass|pwd|secret|token|api-?key)(?:\s+|=)(\"[^\"]+\"|'[^']+'|\S+)")
@@ -187,7 +189,7 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
     taken_until = -1
 
     def add(no: int, start: int, end: int, rule: str, key: str = "") -> None:
-        if end > start and not any(s < end and start < e for _, s, e, _, _ in found[-12:]):
+        if end > start and not any(s < end and start < e for _, s, e, _, _ in found[-60:]):
             found.append((no, start, end, rule, key))
 
     for no in sorted(todo):
@@ -197,13 +199,15 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
             continue
         line = text[start:stop]
         if "-----BEGIN" in line and (m := PEM.search(line)):
-            close = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(text, start + m.end())
+            close = PEM_EDGE.search(text, start + m.end())
             end = close.start() if close and close.start() - start < 20_000 else stop
-            body = text[start + m.end():end]
-            if not re.search(r"\.\.\.|<|\*{4}|REDACTED", body) and len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 24:
-                add(no, start + m.end(), end, "private-key")
-                taken_until = end
-                continue
+            parts = [(p.start(1), p.end(1)) for p in PEM_BODY.finditer(text, start + m.end(), end)] if end > stop else [(start + m.end(), end)]
+            body = "".join(text[s:e] for s, e in parts)
+            if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 24 and not re.search(r"\.\.\.|<|\*{4}|REDACTED", body):
+                for n, (s, e) in enumerate(parts):  # lines of other things in between are read on their own
+                    add(no, s, e, "continued" if n else "private-key")
+                if end <= stop:
+                    continue
         if m := HALVES.search(line):
             whole = re.sub(r"\s+[/+|]\s+", "", m[1])
             if literal(whole, True):
@@ -295,7 +299,7 @@ def redact_bytes(raw: bytes | None, path: str = "") -> tuple[bytes | None, int]:
     for _, start, end, rule, _ in spans:
         mark = "REDACTED"
         if rule == "private-key":  # keep its lines, so that line numbers stay
-            blank = re.sub(rb"[A-Za-z0-9+/=]{16,}", b"REDACTED", raw[start:end]) if not wide else mark.encode("utf-16-le")
+            blank = b"".join(x if x[:1] == b"\\" else re.sub(rb"[A-Za-z0-9+/=]{8,}", b"REDACTED", x) for x in re.split(rb"(\\[nr])", raw[start:end])) if not wide else mark.encode("utf-16-le")
         elif wide:
             blank = mark.encode("utf-16-le" if raw[:2] == b"\xff\xfe" else "utf-16-be")
         else:
