@@ -1,6 +1,6 @@
 """Evaluation passages leaking into training text, by template canonicalisation.
 
-Both sides are read as words: markup, marks and case are dropped. A word's
+Both sides are read as words and their parts: markup, marks and case are dropped. A word's
 canonical form replaces numbers, names (identifiers, paths, hosts, versions) and
 units by typed placeholders. Windows of canonical words are hashed and joined
 between documents and items; from each joined window the two texts are aligned
@@ -38,13 +38,15 @@ from pyspark.sql import functions as F
 WINDOW = 6  # canonical words in a joined window
 LEAST = 25  # words of a passage that make a leak
 SLACK = 2  # changes allowed ..
-SPAN = 8  # .. among so many words
+SPAN = 10  # .. among so many parts
+AGREE = 0.84  # share of a quote's parts that agree
+JUMP = 4  # parts that one change may take on either side
+SKIPS = sorted(((i, j) for i in range(JUMP + 1) for j in range(JUMP + 1) if i or j), key=lambda s: (max(s), sum(s), s[0] != s[1]))
 BROADCAST_WINDOWS = 1_000_000
 
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 LINK = re.compile(r"\[([^\[\]\n]*)\]\([^()\s]*\)")
-BROKEN = re.compile(r"(?<=[^\W\d_])-\s*\n[\s>|*#/]*(?=[a-zà-ÿ])")
-MARKS = re.compile(r"[\W_]+")
+PART = re.compile(r"[^\W_]+")
 CJK = re.compile(r"([぀-ヿ㐀-鿿豈-﫿])")
 NUMBER = re.compile(r"[^\w]*[-+]?\d[\d.,:/%-]*[^\w]*$")
 MEASURE = re.compile(r"[^\w]*\d[\d.,]*[A-Za-z%°µ]{1,4}[^\w]*$")
@@ -55,33 +57,47 @@ MATCHES = "doc_id bigint, item_id bigint, kind string, n_words int, n_equal int,
 
 
 @lru_cache(maxsize=200_000)
-def word_of(raw: str) -> tuple[str, str]:
-    """A raw token's plain word and canonical form; both empty for marks alone."""
-    plain = MARKS.sub("", raw).lower()
-    if not plain:
-        return "", ""
+def token_forms(raw: str) -> tuple[str, tuple[str, ...]]:
+    """A token's canonical form and its parts in lower case; no parts for marks alone."""
+    parts = tuple(PART.findall(raw.lower()))
+    if not parts:
+        return "", ()
     if NUMBER.match(raw) or MEASURE.match(raw):
-        return plain, "<number>"
+        return "<number>", parts
     core = raw.strip("`*_~\"'“”‘’()[]{}<>.,;:!?|#")
     if NAME.search(core):
-        return plain, "<name>"
-    return plain, "<unit>" if plain in UNITS else plain
-
-
-def words_of(text: str) -> tuple[list[str], list[str]]:
-    """Plain and canonical words of a text."""
-    if "&" in text:
-        text = html.unescape(text)
-    if not text.isascii():
-        text = CJK.sub(r" \1 ", unicodedata.normalize("NFKC", text))
-    if "<" in text:
-        text = TAG.sub(" ", text)
-    if "](" in text:
-        text = LINK.sub(r"\1", text)
-    if "-" in text:
-        text = BROKEN.sub("", text)
-    both = [w for w in map(word_of, text.split()) if w[0]]
-    return [w[0] for w in both], [w[1] for w in both]
+        return "<name>", parts
+    plain = "".join(parts)
+    return "<unit>" if plain in UNITS else plain, parts
+
+
+class Words:
+    """A text as tokens (runs without white space) and their parts (runs of letters and digits).
+
+    ``canonical`` has a form per token; ``parts`` all parts in order, ``of_token``
+    the place of each token's first part, ``token_of`` the token of each part.
+    Marks that split a token in one text and not in the other leave parts alike.
+    """
+
+    def __init__(self, text: str):
+        if "&" in text:
+            text = html.unescape(text)
+        if not text.isascii():
+            text = CJK.sub(r" \1 ", unicodedata.normalize("NFKC", text))
+        if "<" in text:
+            text = TAG.sub(" ", text)
+        if "](" in text:
+            text = LINK.sub(r"\1", text)
+        self.canonical: list[str] = []
+        self.parts: list[str] = []
+        self.of_token: list[int] = []
+        self.token_of: list[int] = []
+        for form, parts in map(token_forms, text.split()):
+            if parts:
+                self.of_token.append(len(self.parts))
+                self.token_of.extend([len(self.canonical)] * len(parts))
+                self.canonical.append(form)
+                self.parts.extend(parts)
 
 
 @lru_cache(maxsize=200_000)
@@ -104,46 +120,69 @@ def window_hashes(canonical: list[str], size: int = WINDOW) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _extend(p: list[str], d: list[str], a: int, b: int, step: int) -> tuple[int, int, int]:
-    """The last agreeing places from (a, b) on in one direction, and how many words agree."""
+def _extend(p: list[str], d: list[str], a: int, b: int, step: int, equal: list[tuple[int, int]]) -> None:
+    """Adds the agreeing places from (a, b) on in one direction to ``equal``."""
     end_p, end_d = len(p), len(d)
-    last, equal, at, changes = (a, b), 0, 0, []
+    at, changes = 0, []
     while 0 <= a < end_p and 0 <= b < end_d:
         if p[a] == d[b]:
-            last, equal = (a, b), equal + 1
+            equal.append((a, b))
             a, b, at = a + step, b + step, at + 1
             continue
         changes = [c for c in changes if at - c < SPAN]
         if len(changes) >= SLACK:
             break
-        for skip_p, skip_d in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
+        for skip_p, skip_d in SKIPS:
             x, y = a + skip_p * step, b + skip_d * step
             if 0 <= x < end_p and 0 <= y < end_d and p[x] == d[y]:
                 x2, y2 = x + step, y + step
-                if not (0 <= x2 < end_p and 0 <= y2 < end_d) or p[x2] == d[y2]:
+                x3, y3 = x2 + step, y2 + step
+                if (not (0 <= x2 < end_p and 0 <= y2 < end_d) or p[x2] == d[y2]) and (max(skip_p, skip_d) <= 2 or not (0 <= x3 < end_p and 0 <= y3 < end_d) or p[x3] == d[y3]):
                     break
         else:
             break
         changes.append(at)
         a, b, at = x, y, at + 1
-    return last[0], last[1], equal
 
 
-def stretch(p: list[str], d: list[str], a: int, b: int) -> tuple[int, int, int, int, int]:
-    """Around the agreeing places (a, b): first and last place in ``p`` and in ``d``, and words that agree."""
-    p1, d1, right = _extend(p, d, a, b, 1)
-    p0, d0, left = _extend(p, d, a, b, -1)
-    return p0, p1, d0, d1, right + left - 1
+def stretch(p: list[str], d: list[str], a: int, b: int) -> list[tuple[int, int]]:
+    """The agreeing places around (a, b), in order."""
+    left: list[tuple[int, int]] = []
+    _extend(p, d, a - 1, b - 1, -1, left)
+    right: list[tuple[int, int]] = []
+    _extend(p, d, a, b, 1, right)
+    return left[::-1] + right
+
+
+def trimmed(equal: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretch without runs at its ends, as far as they keep it below ``AGREE``."""
+    i, j = 0, len(equal) - 1
+    while i < j and (j - i + 1) < AGREE * (equal[j][0] - equal[i][0] + 1):
+        x, y = i, j
+        while x < j and equal[x + 1][0] - equal[x][0] == 1:
+            x += 1
+        while y > i and equal[y][0] - equal[y - 1][0] == 1:
+            y -= 1
+        x, y = min(x + 1, j), max(y - 1, i)
+        if (j - x + 1) / (equal[j][0] - equal[x][0] + 1) >= (y - i + 1) / (equal[y][0] - equal[i][0] + 1):
+            i = x
+        else:
+            j = y
+    return equal[i:j + 1]
 
 
-def consistent(p: list[str], d: list[str], pc: list[str], dc: list[str], found: tuple[int, int, int, int, int]) -> bool:
+def consistent(p: Words, d: Words, found: tuple[int, int, int, int]) -> bool:
     """Whether slot values under a template stretch are always replaced alike."""
-    p0, p1, d0, d1, _ = found
-    mine = [w for w, c in zip(p[p0:p1 + 1], pc[p0:p1 + 1]) if c in ("<number>", "<name>")]
-    theirs = [w for w, c in zip(d[d0:d1 + 1], dc[d0:d1 + 1]) if c in ("<number>", "<name>")]
+    p0, p1, d0, d1 = found
+
+    def slots(w: Words, first: int, last: int) -> list[tuple[str, ...]]:
+        ends = [*w.of_token[1:], len(w.parts)]
+        return [tuple(w.parts[w.of_token[i]:ends[i]]) for i in range(first, last + 1) if w.canonical[i] in ("<number>", "<name>")]
+
+    mine, theirs = slots(p, p0, p1), slots(d, d0, d1)
     if len(mine) != len(theirs):
         return False
-    there: dict[str, str] = {}
+    there: dict[tuple[str, ...], tuple[str, ...]] = {}
     return all(there.setdefault(m, t) == t for m, t in zip(mine, theirs))
 
 
@@ -159,64 +198,64 @@ class Items:
     """The items' words and windows, as every task holds them."""
 
     def __init__(self, prompts: list[tuple[int, str]]):
-        self.words = {i: words_of(passage_of(prompt)) for i, prompt in prompts}
-        pairs = [
-            (h, i, k) for i, (_, canonical) in self.words.items() for k, h in enumerate(window_hashes(canonical).tolist())
-        ]
-        pairs.sort()
+        self.words = {i: Words(passage_of(prompt)) for i, prompt in prompts}
+        pairs = sorted((h, i, k) for i, w in self.words.items() for k, h in enumerate(window_hashes(w.canonical).tolist()))
         self.hashes = np.array(sorted({h for h, _, _ in pairs}), np.int64)
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for h, i, k in pairs:
             self.places[h].append((i, k))
 
     def matches(self, text: str, least: int = LEAST) -> list[tuple[int, str, int, int, int, int]]:
-        """(item, kind, words, equal words, place in text, place in passage), the best of each item."""
-        plain, canonical = words_of(text)
-        if len(plain) < least or not len(self.hashes):
+        """(item, kind, words, equal parts, word in text, word in passage), the best of each item."""
+        d = Words(text)
+        if len(d.parts) < least or not len(self.hashes):
             return []
-        h = window_hashes(canonical)
+        h = window_hashes(d.canonical)
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
         best: dict[int, tuple] = {}
-        done: dict[tuple[int, int], int] = {}
+        quoted: dict[tuple[int, int], int] = {}
+        shaped: dict[tuple[int, int], int] = {}
         for b in np.flatnonzero(self.hashes[at] == h).tolist():
             for item, a in self.places[int(h[b])]:
-                if done.get((item, b - a), -1) >= b:
-                    continue
-                p, pc = self.words[item]
-                whole = stretch(pc, canonical, a, b)
-                done[item, b - a] = max(b, whole[3])
-                done[item, whole[3] - whole[1]] = whole[3]
-                if whole[1] - whole[0] + 1 < least:
-                    continue
-                quote = self._verbatim(p, plain, whole, a, b)
-                if quote and quote[1] - quote[0] + 1 >= least:
-                    row = (1, quote[1] - quote[0] + 1, item, "verbatim", quote[4], quote[2], quote[0])
-                elif consistent(p, plain, pc, canonical, whole):
-                    row = (0, whole[1] - whole[0] + 1, item, "reparameterised", quote[4] if quote else 0, whole[2], whole[0])
-                else:
-                    continue
-                if item not in best or row > best[item]:
+                p = self.words[item]
+                row = self._quote(p, d, item, a, b, quoted, least) or self._template(p, d, item, a, b, shaped, least)
+                if row and (item not in best or row > best[item]):
                     best[item] = row
         return [(r[2], r[3], r[1], r[4], r[5], r[6]) for r in best.values()]
 
     @staticmethod
-    def _verbatim(p: list[str], d: list[str], whole: tuple[int, int, int, int, int], a: int, b: int):
-        """The longest stretch of equal words within a template stretch, searched from its equal pairs."""
-        p0, p1, d0, d1, _ = whole
-        best, covered = None, -1
-        shift, drift = b - a, (d1 - p1) - (d0 - p0)
-        for x in range(p0, p1 + 1):
-            if x <= covered:
-                continue
-            for y in {x + shift, x + d0 - p0, x + d1 - p1, *(range(x + d0 - p0, x + d1 - p1) if 0 < drift < 12 else ())}:
-                if 0 <= y < len(d) and p[x] == d[y] and (x + 1 >= len(p) or y + 1 >= len(d) or p[x + 1] == d[y + 1]):
-                    found = stretch(p, d, x, y)
-                    covered = max(covered, found[1])
-                    if best is None or found[1] - found[0] > best[1] - best[0]:
-                        best = found
-                    break
-        return best
+    def _quote(p: Words, d: Words, item: int, a: int, b: int, done: dict[tuple[int, int], int], least: int):
+        """A stretch of equal parts through the joined window."""
+        for k in range(WINDOW):
+            x, y = p.of_token[a + k], d.of_token[b + k]
+            if p.parts[x] == d.parts[y] and (x + 1 >= len(p.parts) or y + 1 >= len(d.parts) or p.parts[x + 1] == d.parts[y + 1]):
+                break
+        else:
+            return None
+        if done.get((item, y - x), -1) >= y:
+            return None
+        equal = stretch(p.parts, d.parts, x, y)
+        for shift in (y - x, equal[-1][1] - equal[-1][0]):
+            done[item, shift] = max(done.get((item, shift), -1), equal[-1][1])
+        if p.token_of[equal[-1][0]] - p.token_of[equal[0][0]] + 1 < least:
+            return None
+        equal = trimmed(equal)
+        n = p.token_of[equal[-1][0]] - p.token_of[equal[0][0]] + 1
+        return (1, n, item, "verbatim", len(equal), d.token_of[equal[0][1]], p.token_of[equal[0][0]]) if n >= least else None
+
+    @staticmethod
+    def _template(p: Words, d: Words, item: int, a: int, b: int, done: dict[tuple[int, int], int], least: int):
+        """A stretch that agrees in canonical words, its slots replaced consistently."""
+        if done.get((item, b - a), -1) >= b:
+            return None
+        equal = stretch(p.canonical, d.canonical, a, b)
+        (p0, d0), (p1, d1) = equal[0], equal[-1]
+        for shift in (b - a, d1 - p1):
+            done[item, shift] = max(done.get((item, shift), -1), d1)
+        if p1 - p0 + 1 < least or not consistent(p, d, (p0, p1, d0, d1)):
+            return None
+        return (0, p1 - p0 + 1, item, "reparameterised", len(equal), d0, p0)
 
 
 def leaks(
@@ -245,7 +284,7 @@ def _against_all(held, least: int):
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        hashes = [np.unique(window_hashes(words_of(t)[1])) for t in batch["text"]]
+        hashes = [np.unique(window_hashes(Words(t).canonical)) for t in batch["text"]]
         yield pd.DataFrame({
             "key": np.repeat(batch["key"].to_numpy(), [len(h) for h in hashes]) if len(batch) else np.empty(0, np.int64),
             "h": np.concatenate(hashes) if hashes else np.empty(0, np.int64),
