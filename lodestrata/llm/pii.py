@@ -70,7 +70,7 @@ MAIL_AT = r"(?:@|[ ]?[\[({<]\s?at\s?[\])}>][ ]?|[ ]at[ ])"
 MAIL_DOT = r"(?:\.|[ ]?[\[({]\s?dot\s?[\])}][ ]?|[ ]dot[ ])"
 EMAIL = re.compile(rf"(?<![\w.+/%-])[A-Za-z0-9À-ÿ][\w.+%'-]{{0,63}}{MAIL_AT}(?:[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?{MAIL_DOT}){{1,5}}[A-Za-z]{{2,24}}(?![\w@-]|\.[A-Za-z0-9])")
 MAIL_HINT = re.compile(r"@|[\[({ ]\s?at\s?[\])} ]")
-NUMBER = re.compile(r"(?<![\w.+/:-])(?:\+|\()?\d(?:[\d().\-/  ]{0,2}\d){5,20}(?:,? (?:ext|x|extn|durchwahl)\.? ?\d{1,5})?(?![\w])(?![.:-]\d)", re.I)
+NUMBER = re.compile(r"(?<![\w.+/:-])(?:\+|\()?\d(?:(?:[ .\-/ ]|\) ?| ?\()?\d){5,20}(?:,? (?:ext|x|extn|durchwahl)\.? ?\d{1,5})?(?![\w])(?![.:-]\d)", re.I)
 CODE = re.compile(r"(?<![\w.+/:@-])(?:[A-Z]{1,3}\d{2,9}(?:-\d{2,6}){0,3}[A-Z]?|\d{7,8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![\w-])")
 ADDRESSES = (
     ("street", re.compile(
@@ -89,7 +89,7 @@ ADDRESS_HINT = re.compile(rf"\d[A-Za-z]? (?:[A-Z][a-zà-ÿ'’]+ ){{1,4}}{STREET
 ZH_ADDRESS = re.compile(r"[一-鿿]{1,6}?[省市区县镇](?:[一-鿿]{1,6}?[市区县镇])?[一-鿿]{1,8}?(?:路|街|道|巷|大道|胡同)\d{1,5}号(?:院)?(?:\d{1,4}(?:栋|号楼|幢|单元))*(?:\d{1,5}室)?")
 ZH_BEFORE = re.compile(r"^(?:.*(?:寄到|送到|寄往|送往|地址是|地址为|地址|住在|位于|搬到|搬至|发到|在|到|至|往))?")
 ZH_NAME = re.compile(r"(?:(?:请?联系|收件人|联系人|负责人|报告人|作者|提交人|审阅人|感谢|找|由)[:： ]?)([一-鿿]{2,4})(?=[，。；、,.;\s（(]|$|(?: ?的))|(?<![一-鿿])([一-鿿]{2,4})(?= ?(?:的(?:邮箱|电话|手机|地址|号码|身份证)|先生|女士|说|已经?))")
-CAP = r"(?:[A-ZÀ-ÞŁŚŽŠČ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)*\.?)"
+CAP = r"(?:[A-ZÀ-ÞŁŚŽŠČ]\.|(?:Dr|Prof|Mr|Mrs|Ms|Hr|Fr|St|Sr|Sra)\.|[A-ZÀ-ÞŁŚŽŠČ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)*)"
 NAME_RUN = re.compile(rf"(?<![\w@/.:#&-]){CAP}(?:(?:,? |[ ]?, ){CAP})+")
 TOKEN = re.compile(r"[^\s,]+")
 
