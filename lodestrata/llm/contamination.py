@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 6  # canonical words in a joined window
+WINDOW = 7  # canonical words in a joined window
 LEAST = 25  # words of a passage that make a leak
 SLACK = 2  # changes allowed ..
 SPAN = 10  # .. among so many parts
