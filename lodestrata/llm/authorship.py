@@ -35,13 +35,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import cut
+from lodestrata.lineage import cut, small
 
 KINDS = ("generated", "minified", "vendored", "data")
 BITS = 18
 SKETCH = 12
 LONG_LINE = 32
+HOT_FILES = 20_000  # a line in more files than that is looked up by broadcast
 TRAIN_ROWS = 3_000  # labelled files fitted on at most, per kind a third of it
+GRAM_SCALE = 1.0  # length of the n-gram part of a file, whose named features are 1 each
 MASKED_WEIGHT = 0.02  # of a view in which every giveaway is masked and only the way of writing is left
 TRAIN_BYTES = 65_536  # longer files are scored whole, but not fitted on
 
@@ -143,6 +145,7 @@ def path_features(path: str) -> list[str]:
     out += [f"N:{'.'.join(parts[1:])}"] + [f"M:{p}" for p in parts[1:-1]] + [f"E:{parts[-1] if len(parts) > 1 else ''}"]
     stem = re.split(r"[_\-]", parts[0])
     out += [f"S:{stem[-1]}"] if len(stem) > 1 else []
+    out += ["V:name"] if len(stem) > 1 and stem[-1] == "generated" else []
     return out + ["V:vendor" for f in folders if f.lower() in VENDOR_PARTS] + ["V:generated" for f in folders if f.lower() in GENERATED_PARTS] + [
         "V:name" for p in parts[1:-1] if p in NAME_PARTS
     ]
@@ -229,9 +232,10 @@ class Masked:
         kinds = {k for k, _ in self.notes}
         shape = set(shape_features(self.body)) if self.body.strip() else set()
         foreign = "foreign" in kinds or any(h != own for h in self.holders)
-        if "map" in kinds or "M:min" in names or any(s.startswith("H:dense=True|0|") or s.startswith("H:dense=True|1|2") or s.startswith("H:dense=True|1|3") for s in shape) and "H:bulk=False" in shape:
+        dense = next((h.split("|")[1:] for h in shape if h.startswith("H:dense=True")), None)  # steps of spaces and of punctuation
+        if "map" in kinds or "M:min" in names or dense and (dense[0] == "0" or dense[0] <= "2" and dense[1] >= "2") and "H:bulk=False" in shape:
             return "minified"
-        if "generated" in kinds or "V:generated" in names or "V:name" in names or "S:generated" in names:
+        if "generated" in kinds or "V:generated" in names or "V:name" in names:
             return "generated"
         if "hand" in kinds:
             return "hand"
@@ -245,7 +249,7 @@ class Masked:
 def gram_values(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the n-grams, and the roots of their relative frequencies."""
     slots, counts = np.unique(gram_slots(body), return_counts=True)
-    return slots.astype(np.int32), (np.sqrt(counts / max(1, counts.sum())) * 2.0).astype(np.float32)
+    return slots.astype(np.int32), (np.sqrt(counts / max(1, counts.sum())) * GRAM_SCALE).astype(np.float32)
 
 
 def named_slots(names: list[str]) -> np.ndarray:
@@ -306,10 +310,17 @@ def texts(content: DataFrame) -> DataFrame:
 
 
 def copied_shares(read: DataFrame) -> DataFrame:
-    """(repo_id, path, shared): the share of a file's sketch that other repositories hold too, in tenths."""
+    """(repo_id, path, shared): the share of a file's sketch that other repositories hold too, in tenths.
+
+    A line that very many files hold (a licence, say) would meet all of them in one
+    task; such lines are few, and are looked up by broadcast instead.
+    """
     lines = read.select("repo_id", "path", F.explode("sketch").alias("h"))
-    known = lines.groupBy("h").agg((F.min("repo_id") < F.max("repo_id")).alias("elsewhere"))
-    joined = lines.join(known, "h")
+    known = cut(lines.groupBy("h").agg((F.min("repo_id") < F.max("repo_id")).alias("elsewhere"), F.count("*").alias("n")))
+    hot = known.where(F.col("n") > HOT_FILES).select("h", "elsewhere")
+    looked = lines.join(small(hot), "h", "left")
+    rest = looked.where("elsewhere is null").drop("elsewhere").join(known.where(F.col("n") <= HOT_FILES).select("h", "elsewhere"), "h")
+    joined = looked.where("elsewhere is not null").unionByName(rest)
     return joined.groupBy("repo_id", "path").agg(F.floor(F.avg(F.col("elsewhere").cast("int")) * 10).cast("int").alias("shared"))
 
 
