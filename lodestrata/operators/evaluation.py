@@ -61,3 +61,16 @@ def grade(responses: DataFrame) -> DataFrame:
     outside = ~F.exists(F.coalesce("must_not_include", empty), lambda t: F.contains(low, F.lower(t)))
     verdict = F.coalesce(F.contains(low, F.lower("verdict")), F.lit(True))
     return responses.withColumns({"verdict_ok": verdict, "include_ok": inside, "exclude_ok": outside, "passed": verdict & inside & outside})
+
+
+def recall_by(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cases, met, recall in percent, rounded down): how many cases had all their terms."""
+    met = F.count_if("met")
+    return results.groupBy(*by).agg(F.count("*").alias("cases"), met.alias("n_met"), F.expr("count_if(met) * 100 div count(*)").alias("recall"))
+
+
+def recall_delta(baseline: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
+    """(by, was, now, delta) of two recalls; a group on one side only has the other null and no delta."""
+    b = recall_by(baseline, by).select(*by, F.col("recall").alias("was"))
+    c = recall_by(current, by).select(*by, F.col("recall").alias("now"))
+    return b.join(c, by, "full_outer").withColumn("delta", F.col("now") - F.col("was"))

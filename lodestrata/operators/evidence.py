@@ -132,3 +132,8 @@ def orchestration_status(runs: DataFrame, by: str) -> DataFrame:
     """completed if all runs were accepted, partial if some, else unavailable."""
     n = F.count_if("accepted")
     return runs.groupBy(by).agg(F.when(n == F.count("*"), "completed").when(n > 0, "partial").otherwise("unavailable").alias("status"), n.alias("accepted_runs"))
+
+
+def sum_counters(parts: DataFrame, counters: list[str], by: list[str]) -> DataFrame:
+    """Counter-wise sums over runs; a missing counter is 0."""
+    return parts.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])

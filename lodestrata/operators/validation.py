@@ -61,3 +61,16 @@ def edge_contract(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def accounting(runs: DataFrame, by: str) -> DataFrame:
     """Groups in which what was consumed and what remains do not add up to the initial budget."""
     return _rule(runs.groupBy(by).agg(F.max("initial").alias("i"), F.sum("consumed").alias("c"), F.min("remaining").alias("r")).where("i <> c + r"), "budget-accounting", by)
+
+
+def json_mismatch(df: DataFrame, columns: list[str], json_column: str, rule: str, ref: str) -> DataFrame:
+    """Rows whose columns differ from their stored canonical JSON."""
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+    stored = F.from_json(json_column, schema)
+    differs = ~stored.eqNullSafe(F.struct(*columns))
+    return _rule(df.where(differs), rule, ref)
+
+
+def not_canonical(df: DataFrame, array_column: str, rule: str, ref: str) -> DataFrame:
+    """Rows whose array is not sorted and distinct."""
+    return _rule(df.where(F.col(array_column).isNotNull() & (F.array_sort(F.array_distinct(array_column)) != F.col(array_column))), rule, ref)
