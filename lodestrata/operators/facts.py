@@ -7,6 +7,8 @@ window, within one text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,17 @@ SUMMARY_OF_KIND = {
     "network": "network-effect", "broker": "network-effect", "endpoint": "network-effect", "lifecycle": "lifecycle-effect",
 }
 # What makes a path a test's, and the ordered classes of tests: rule, confidence, kind, environment.
-TEST_PATH = (
-    r"^(test|tests|e2e|cypress|playwright)/|^src/test/|/(test|tests|e2e|cypress|playwright|__tests__)/|/src/(test|it|integrationtest|integration-test)/"
-    r"|(test|tests|it|itcase|integrationtest|spec)\.(java|kt)$|(test|spec|it|integrationtest)\.(groovy|scala)$|(test|spec|e2e|cy)\.(ts|tsx|js|jsx)$|_test\.(go|py)$|\.spec\.py$|^test_|/test_"
+TEST_STARTS = ("test/", "tests/", "e2e/", "cypress/", "playwright/", "src/test/", "test_")
+TEST_PARTS = ("/test/", "/tests/", "/e2e/", "/cypress/", "/playwright/", "/__tests__/", "/src/test/", "/src/it/", "/src/integrationtest/", "/src/integration-test/", "/test_")
+TEST_ENDS = (
+    "test.java", "tests.java", "it.java", "itcase.java", "integrationtest.java", "spec.java", "test.kt", "tests.kt", "it.kt", "itcase.kt", "integrationtest.kt", "spec.kt",
+    "test.groovy", "spec.groovy", "it.groovy", "integrationtest.groovy", "test.scala", "spec.scala", "it.scala", "integrationtest.scala",
+    "test.ts", "spec.ts", "e2e.ts", "cy.ts", "test.tsx", "spec.tsx", "e2e.tsx", "cy.tsx", "test.js", "spec.js", "e2e.js", "cy.js", "test.jsx", "spec.jsx", "e2e.jsx", "cy.jsx", "_test.go", "_test.py", ".spec.py",
+)
+JVM_PARTS = ("/src/it/", "/src/integrationtest/", "/src/integration-test/")
+JVM_ENDS = (
+    "it.java", "itcase.java", "integrationtest.java", "it.kt", "itcase.kt", "integrationtest.kt", "it.groovy", "integrationtest.groovy", "it.scala", "integrationtest.scala",
 )
-JVM_INTEGRATION = r"/src/(it|integrationtest|integration-test)/|(it|itcase|integrationtest)\.(java|kt)$|(it|integrationtest)\.(groovy|scala)$"
 CONTENT_CLASSES = (
     ("testcontainers", ("org.testcontainers", "@testcontainers", "@container", "testcontainers-go")),
     ("docker-compose-test", ("dockercomposecontainer", "docker-compose", "docker compose", "compose.yml", "compose.yaml")),
@@ -72,9 +80,18 @@ CONTENT_CLASSES = (
     ("rust-ignored-test", ("#[ignore]",)),
     ("rust-integration-path", ()),
 )
+
+
+def path_pattern(starts: tuple[str, ...], parts: tuple[str, ...], ends: tuple[str, ...]) -> str:
+    """One pattern for paths that start with, hold or end with any of the texts."""
+    groups = [f"^({'|'.join(map(re.escape, starts))})"] * bool(starts) + [f"({'|'.join(map(re.escape, parts))})"] * bool(parts) + [f"({'|'.join(map(re.escape, ends))})$"] * bool(ends)
+    return "|".join(groups)
+
+
+TEST_PATH = path_pattern(TEST_STARTS, TEST_PARTS, TEST_ENDS)
 EXACT_CASE = frozenset(("spring-boot-context", "spring-data-slice", "spring-web-slice"))
 PATH_OF_CLASS = {
-    "jvm-integration-naming": JVM_INTEGRATION, "playwright-e2e": r"\.pw\.(ts|js)$", "cypress-e2e": r"/cypress/|\.cy\.(ts|tsx|js|jsx)$",
+    "jvm-integration-naming": path_pattern((), JVM_PARTS, JVM_ENDS), "playwright-e2e": r"\.pw\.(ts|js)$", "cypress-e2e": r"/cypress/|\.cy\.(ts|tsx|js|jsx)$",
     "node-e2e-or-integration": r"/e2e/|\.e2e\.|/integration/", "go-integration-naming": r"(integration|/e2e/).*_test\.go$", "rust-integration-path": r"(^tests/|/tests/|/integration/).*\.rs$",
 }
 NO_CLASS = "no-known-env-heavy-marker"
