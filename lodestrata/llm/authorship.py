@@ -42,7 +42,7 @@ BITS = 18
 SKETCH = 12
 LONG_LINE = 32
 HOT_FILES = 20_000  # a line in more files than that is looked up by broadcast
-TRAIN_ROWS = 3_000  # labelled files fitted on at most, per kind a third of it
+TRAIN_ROWS = 3_000  # labelled files fitted on at most, half of them hand-written
 GRAM_SCALE = 1.0  # length of the n-gram part of a file, whose named features are 1 each
 MASKED_WEIGHT = 0.02  # of a view in which every giveaway is masked and only the way of writing is left
 TRAIN_BYTES = 65_536  # longer files are scored whole, but not fitted on
@@ -331,7 +331,7 @@ def classified(content: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFr
     top = read.select(F.explode("holders").alias("h")).groupBy("h").count().orderBy(F.desc("count"), "h").head(1)
     own = top[0].h if top else None
     shares = cut(copied_shares(read))
-    sample = _sample(source, own, shares, train_rows)
+    sample = _sample(source, read, own, shares, train_rows)
     rows, held = [], []
     for repo, path, raw, label, shared in sample:
         m = Masked(path, bytes(raw))
@@ -371,27 +371,31 @@ def classified(content: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFr
     return plus.select("repo_id", "path", kind.alias("kind"), best.alias("score")), machines, report
 
 
-def _sample(source: DataFrame, own: str | None, shares: DataFrame, most: int) -> list[tuple]:
-    """Labelled files to fit on: at most ``most``, a third of them hand-written, chosen by a hash of their place."""
-    pick = F.xxhash64(F.lit("fit"), "repo_id", "path")
-    one = source.where(F.octet_length("bytes") <= TRAIN_BYTES)
+def _sample(source: DataFrame, read: DataFrame, own: str | None, shares: DataFrame, most: int) -> list[tuple]:
+    """Labelled files to fit on: at most ``most``, half of them hand-written, chosen by a hash of their place.
+
+    About four times as many files are drawn, labelled and kept, whatever the size of the corpus.
+    """
+    total = read.where(F.col("n_bytes") <= TRAIN_BYTES).count()
+    keep = min(1.0, 4.0 * most / max(1, total))
+    pick = F.pmod(F.xxhash64(F.lit("fit"), "repo_id", "path"), F.lit(10**15))
     schema = "repo_id string, path string, bytes binary, label string, pick bigint"
-    total = one.select(F.count("*")).first()[0]
-    keep = min(1.0, 4.0 * most / max(1, total))  # a uniform draw by hash, independent of the data's order
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             labels = [Masked(p, b).label(own) for p, b in zip(batch["path"], batch["bytes"])]
             yield pd.DataFrame({"repo_id": batch["repo_id"], "path": batch["path"], "bytes": batch["bytes"], "label": labels, "pick": batch["pick"]})
 
-    drawn = one.withColumn("pick", pick).where(F.abs(F.col("pick") % 1_000_000) < F.lit(int(keep * 1_000_000)))
-    labelled = drawn.select("repo_id", "path", "bytes", "pick").mapInPandas(label, schema).where("label is not null")
-    labelled = labelled.join(shares, ["repo_id", "path"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    drawn = source.withColumn("pick", pick).where((F.col("pick") < F.lit(int(keep * 10**15) + 1)) & (F.octet_length("bytes") <= TRAIN_BYTES))
+    labelled = cut(drawn.select("repo_id", "path", "bytes", "pick").mapInPandas(label, schema))
+    keys = labelled.select("repo_id", "path").distinct()
+    theirs = shares.join(small(keys), ["repo_id", "path"], "left_semi")
+    labelled = labelled.join(small(theirs), ["repo_id", "path"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     labelled = labelled.where("not (label = 'hand' and shared >= 5)")  # a copy without giveaways has no known label
     hand = labelled.where("label = 'hand'").orderBy("pick").limit(most // 2)
     rest = labelled.where("label <> 'hand'").orderBy("pick").limit(most - most // 2)
     rows = hand.unionByName(rest).select("repo_id", "path", "bytes", "label", "shared").collect()
-    return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1]))
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] or "", r[1]))
 
 
 def _validate(machines: Machines, held: list) -> dict:
