@@ -222,4 +222,11 @@ UNION ALL SELECT n_nationkey, 'super::super::top', 'app::top' FROM m UNION ALL S
         "nearest_root": """WITH p AS (SELECT DISTINCT path FROM manifest_entry), r AS (SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS root FROM manifest_entry WHERE regexp_extract(path, '^([^/]+/[^/]+)/', 1) <> '')
 SELECT path, arg_max(root, length(root)) AS root FROM p JOIN r ON starts_with(path, root || '/') GROUP BY path""",
         "graph_point_query": f"WITH {sym} SELECT * FROM sym WHERE symbol IN ({', '.join(repr(r) for r in ROOTS)})",
+        "ordered_imports": """WITH RECURSIVE i AS (SELECT DISTINCT repo_id, path, source_range.start_byte AS start_byte, rule_id AS segments, kind || '/unit' AS name, coalesce(resolution = 'resolved', false) AS exported
+  FROM normalized_fact WHERE source_range.start_byte IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, start_byte, segments, name) AS r FROM i),
+l AS (SELECT a.repo_id, a.r, b.r AS link FROM n a ASOF LEFT JOIN (SELECT repo_id, name, r FROM n WHERE exported) b ON a.repo_id = b.repo_id AND a.segments = b.name AND a.r > b.r),
+w AS (SELECT repo_id, r, r AS at_row, link FROM l UNION ALL SELECT w.repo_id, w.r, l.r, l.link FROM w JOIN l ON l.repo_id = w.repo_id AND l.r = w.link)
+SELECT n.repo_id, n.path, n.start_byte, n.name, t.segments AS target, l.link IS NOT NULL AS through_export
+FROM w JOIN n USING (repo_id, r) JOIN l USING (repo_id, r) JOIN n t ON t.repo_id = w.repo_id AND t.r = w.at_row WHERE w.link IS NULL""",
     }

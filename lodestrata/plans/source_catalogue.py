@@ -130,4 +130,10 @@ SELECT repo_id, count(*) FILTER (WHERE f <= 12 AND b <= 15000) AS kept, count(*)
         "rust_symbols": f"WITH {files}, {rows}, m AS (SELECT file_id, line_no, regexp_extract(line, '{sym}', ['v', 'k', 'n']) AS s FROM code WHERE regexp_matches(line, '{sym}')) SELECT file_id, CAST(line_no AS INT) AS line_no, s.k AS kind, s.n AS name, CASE WHEN s.v <> '' THEN trim(s.v) END AS visibility, 'recovered' AS quality FROM m",
         "rust_calls": f"""WITH {files}, {rows}, m AS (SELECT file_id, unnest(regexp_extract_all(line, '{syntax.CALL}', 1)) AS name, unnest(regexp_extract_all(line, '{syntax.CALL}', 2)) AS b FROM code WHERE NOT regexp_matches(line, '{sym}'))
 SELECT file_id, name, b = '!' AS is_macro, count(*) AS n FROM m WHERE name NOT IN ({not_calls}) GROUP BY ALL""",
+        "report_formats": "SELECT 'sarif' AS format, count(*) AS n FROM (SELECT DISTINCT provider_id, repo_id, path FROM normalized_fact) UNION ALL SELECT 'unknown', count(*) FROM publication_raw",
+        "evidence_by_sarif": r"""WITH f AS (SELECT DISTINCT fact_id, provider_id, repo_id, rule_id, path, substr(text, 1, 80) AS t, confidence, source_range.start_line AS s FROM normalized_fact),
+k AS (SELECT repo_id, provider_id, rule_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS m, path, s, max(CASE WHEN confidence = 'high' THEN 4 ELSE 2 END) AS r FROM f GROUP BY repo_id, provider_id, rule_id, m, path, s)
+SELECT CASE r WHEN 4 THEN 'error' ELSE 'note' END AS severity, count(*) AS n FROM k GROUP BY 1""",
+        "fact_store": f"""WITH {files}, c AS (SELECT sha256(text) AS k, sha256(path) AS p, CASE WHEN contains(path, 'ledger') THEN 'old' ELSE 'new' END AS v FROM file), s AS (SELECT k, min(p) AS p, arg_min(v, p) AS v FROM c GROUP BY k)
+SELECT CASE WHEN starts_with(p, '0') THEN 'corrupt' WHEN v <> 'new' THEN 'stale' ELSE 'hit' END AS status, count(*) AS n FROM s GROUP BY 1""",
     }
