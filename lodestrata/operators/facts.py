@@ -137,10 +137,10 @@ def key_values(files: DataFrame) -> DataFrame:
 
 def earliest_markers(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, marker, line, column) of the first marker of each kind; of markers at one place the first listed."""
-    low = F.lower(text_col)
+    texts, low = texts.withColumn("__low", F.lower(text_col)), F.col("__low")  # lower case once, not per marker
     rows = []
     for kind, needles in MARKERS.items():
-        places = [F.struct(F.when(F.instr(low, n) > 0, F.instr(low, n)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("marker")) for i, n in enumerate(needles)]
+        places = [F.struct(F.nullif(F.instr(low, n), F.lit(0)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("marker")) for i, n in enumerate(needles)]
         best = F.array_min(F.filter(F.array(*places), lambda s: s["at"].isNotNull()))
         rows.append(F.struct(F.lit(kind).alias("kind"), best.alias("m")))
     each = texts.select(id_col, text_col, F.explode(F.filter(F.array(*rows), lambda r: r["m"].isNotNull())).alias("r"))
