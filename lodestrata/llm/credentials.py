@@ -355,3 +355,23 @@ def redacted_contents(content: DataFrame) -> DataFrame:
             })
 
     return content.where("not coalesce(is_binary, false)").select("file_id", "path", "bytes").mapInPandas(run, schema)
+
+
+def redacted(content: DataFrame, facts: DataFrame) -> DataFrame:
+    """(origin, row_key, path, redacted_bytes, n_redacted) of each text file and each fact's text, in UTF-8; repeated rows stay repeated."""
+    files = redacted_contents(content).select(
+        F.lit("candidate_content").alias("origin"), F.col("file_id").cast("string").alias("row_key"), "path", "redacted_bytes", "n_redacted"
+    )
+    schema = "row_key string, path string, redacted_bytes binary, n_redacted int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [redact_bytes(raw, path or "") for raw, path in zip(batch["raw"], batch["path"])]
+            yield pd.DataFrame({
+                "row_key": batch["row_key"], "path": batch["path"],
+                "redacted_bytes": [d[0] for d in done], "n_redacted": [d[1] for d in done],
+            })
+
+    read = facts.select(F.col("fact_id").alias("row_key"), "path", F.encode("text", "UTF-8").alias("raw"))
+    texts = read.mapInPandas(run, schema).select(F.lit("normalized_fact").alias("origin"), "row_key", "path", "redacted_bytes", "n_redacted")
+    return files.unionByName(texts)

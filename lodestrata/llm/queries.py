@@ -24,7 +24,7 @@ def queries() -> dict[str, Query]:
         "p4_found": _over(splitting.oversized_hunks, "split_suggestion"),
         "p4_pieces": _over(splitting.split_pieces, "split_suggestion"),
         "p5_found": _over(credentials.found_lines, "candidate_content", "normalized_fact"),
-        "p5_redacted": _over(credentials.redacted_contents, "candidate_content"),
+        "p5_redacted": _over(credentials.redacted, "candidate_content", "normalized_fact"),
         "p6_packed": _over(packing.packed, "documents"),
         "p6_containers": _over(lambda docs: packing.containers(packing.packed(docs)), "documents"),
         "p7_found": _over(contamination.leaked, "documents", "eval_item"),
