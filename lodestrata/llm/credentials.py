@@ -29,12 +29,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words that open a look at a line (lower case).
-TRIGGERS = (
-    "pass", "pwd", "pw", "secret", "token", "apikey", "api_key", "api-key", "api key", "private key", "credential", "auth", "identified by",
-    "signing", "_key", "-key", "access", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "npm_", "xoxb-", "xoxp-", "xoxa-",
-    "sk_live_", "sk_test_", "rk_live_", "pcrk-", "eyj", "aiza", "://", "bearer", "basic ", "data.", "b64", "key:", "key=", "key =", "sig=",
-)
 # Shapes of well-known tokens.
 SHAPES = re.compile(
     r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[posur]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[A-Za-z0-9_-]{18,}|npm_[A-Za-z0-9]{30,}"
@@ -44,8 +38,9 @@ SHAPES = re.compile(
 SHAPE_START = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{3}|gh[posur]_\w{4}|github_pat_|glpat-\w|npm_\w{6}|xox[abpsr]-\d|[sr]k_live_|pcrk-[0-9a-f]|eyJ\w{8}")
 HALVES = re.compile(r"\(in (?:two|three|\d+) (?:halves|parts|pieces)\)\s*[:=]\s*(\S+(?:\s+[/+|]\s+\S+)+)")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
-PEM_EDGE = re.compile(r"-----(?:END|BEGIN) [A-Z0-9 ]*KEY(?: BLOCK)?-----")
+PEM_EDGE = re.compile(r"-----(END|BEGIN) [A-Z0-9 ]*KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"(?m)^[ \t]*(?://+|#+|--|\*|;+)?[ \t]*([A-Za-z0-9+/]{8,}={0,2})[ \t]*\r?$")
+PEM_HEADER = re.compile(r"[ \t]*(?://+|#+|--|\*|;+)?[ \t]*(?:[A-Z][A-Za-z-]{2,20}: [^\n]*)?\r?")
 URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`]*:([^\s@\"'`]{1,200})@[A-Za-z0-9\[]")
 AUTH = re.compile(r"(?i)\bauthorization\b[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic|token|apikey|digest)\s+)([A-Za-z0-9+/=_.~-]{8,})")
 FLAG = re.compile(r"(?i)(?:^|\s)--?(?:[a-z]+-)*(password|passwd|pass|pwd|secret|token|api-?key)(?:\s+|=)(\"[^\"]+\"|'[^']+'|\S+)")
@@ -71,6 +66,13 @@ HARMLESS = frozenset(
     "policy rule hint label field column prefix suffix size algorithm public pub fingerprint checksum version tokens budget usage uuid header regex "
     "pattern prompt env var variable manager provider store".split()
 )
+# What opens a look at a line (lower case). In words: the least of them that every sensitive key holds, the letters of a key taken together.
+# As written: the heads of SHAPES, and what the other patterns cannot do without.
+WORDS = tuple(sorted(w for w in SENSITIVE | {"key"} if not any(v in w for v in (SENSITIVE | {"key"}) - {w})))
+HEADS = (
+    "akia", "asia", *[f"gh{c}_" for c in "posur"], "github_pat_", "glpat-", "npm_", *[f"xox{c}-" for c in "abpsr"], "sk_live_", "rk_live_", "pcrk-", "aiza", "eyj",
+    "://", "auth", "identified", "data.", " halves)", " parts)", " pieces)",
+)
 PLACEHOLDER = re.compile(
     r"(?i)^(?:change[-_ ]?me\d*|todo|tbd|fixme|replace[-_ ]?(?:me|this)|your[-_ ].*|my[-_ ](?:password|secret|token|api[-_ ]?key)|<.*>?|\[.*\]?|\*+|x{4,}|\.{3,}|…"
     r"|none|null|nil|undefined|true|false|yes|no|empty|unset|redacted|masked|hidden|removed|example|sample|dummy|fake|placeholder|insert[-_ ].*|enter[-_ ].*|optional|required|n/a"
@@ -90,17 +92,68 @@ CONFIG_SUFFIX = re.compile(r"(?i)\.(?:ya?ml|toml|ini|cfg|conf|config|properties|
 SPANS = "origin string, row_key string, line_no int, rule string, key_path string, start_byte bigint, end_byte bigint"
 
 
-@lru_cache(maxsize=1)
-def automaton():
+@lru_cache(maxsize=2)
+def automaton(words: tuple[str, ...]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in TRIGGERS:
+    for w in words:
         a.add_word(w, len(w))
     a.make_automaton()
     return a
 
 
+def line_starts(text: str) -> list[int]:
+    starts, at = [0], text.find("\n")
+    while at >= 0:
+        starts.append(at + 1)
+        at = text.find("\n", at + 1)
+    return starts
+
+
+def worth_parsing(text: str) -> list[int]:
+    """Numbers of the lines that may hold a credential: no other line has what a pattern or a sensitive key needs.
+
+    Both forms of the text keep its line feeds, so that lines are counted in them.
+    """
+    joined = text.encode("ascii", "ignore").translate(None, b"_-.").lower().decode("ascii")
+    todo: set[int] = set()
+    for form, words in ((joined, WORDS), (text.lower(), HEADS)):
+        ends = [end for end, _ in automaton(words).iter(form)]
+        if ends:
+            starts = line_starts(form)
+            todo.update(bisect.bisect_right(starts, end) - 1 for end in ends)
+    return sorted(todo)
+
+
+def in_key(text: str, parts: list[tuple[int, int]]) -> bool:
+    """Whether the spans together look like the body of a private key."""
+    body = "".join(text[s:e] for s, e in parts)
+    return len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 24 and not re.search(r"\.\.\.|<|\*{4}|REDACTED", body)
+
+
+def key_body(text: str, at: int, until: int) -> list[tuple[int, int]]:
+    """Spans of the body lines of a private key block without an end, from the line at ``at`` to the last of its lines.
+
+    Headers and blank lines do not end it, nor does one other line before a line that is no plain word.
+    """
+    parts: list[tuple[int, int]] = []
+    other = False
+    while at < until:
+        stop = text.find("\n", at, until)
+        stop = until if stop < 0 else stop
+        m = PEM_BODY.match(text, at, stop)
+        if m and (not other or all(re.search(c, m[1]) for c in ("[A-Z]", "[a-z]", "[0-9]"))):
+            parts.append(m.span(1))
+            other = False
+        elif not PEM_HEADER.fullmatch(text, at, stop):
+            if other:
+                break
+            other = True
+        at = stop + 1
+    return parts
+
+
 @lru_cache(maxsize=20_000)
 def sensitive(key: str) -> bool:
     """Whether the words of a key say that its value is a credential."""
@@ -170,29 +223,22 @@ def _value(m: re.Match) -> tuple[int, int, bool] | None:
 
 def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]:
     """(line from 0, start, end, rule, key path) of each credential in ``text``, in order."""
-    low = text.lower()
-    starts: list[int] | None = None
-    todo: dict[int, None] = {}
-    for end, _ in automaton().iter(low):
-        if starts is None:
-            starts = [0]
-            at = text.find("\n")
-            while at >= 0:
-                starts.append(at + 1)
-                at = text.find("\n", at + 1)
-        todo[bisect.bisect_right(starts, end) - 1] = None
-    if starts is None:
+    todo = worth_parsing(text)
+    if not todo:
         return []
+    starts = line_starts(text)
     config = bool(CONFIG_SUFFIX.search(path))
     lines: list[str] | None = None
     found: list[tuple[int, int, int, str, str]] = []
     taken_until = -1
+    blocks: list[tuple[int, int]] = []  # body lines of private keys so far, in order
 
     def add(no: int, start: int, end: int, rule: str, key: str = "") -> None:
-        if end > start and not any(s < end and start < e for _, s, e, _, _ in found[-60:]):
+        at = bisect.bisect_left(blocks, (end, 0)) - 1
+        if end > start and not any(s < end and start < e for _, s, e, _, _ in found[-60:]) and not (at >= 0 and start < blocks[at][1]):
             found.append((no, start, end, rule, key))
 
-    for no in sorted(todo):
+    for no in todo:
         start = starts[no]
         stop = starts[no + 1] - 1 if no + 1 < len(starts) else len(text)
         if start < taken_until:
@@ -200,12 +246,22 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
         line = text[start:stop]
         if "-----BEGIN" in line and (m := PEM.search(line)):
             close = PEM_EDGE.search(text, start + m.end())
-            end = close.start() if close and close.start() - start < 20_000 else stop
-            parts = [(p.start(1), p.end(1)) for p in PEM_BODY.finditer(text, start + m.end(), end)] if end > stop else [(start + m.end(), end)]
-            body = "".join(text[s:e] for s, e in parts)
-            if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 24 and not re.search(r"\.\.\.|<|\*{4}|REDACTED", body):
+            end = close.start() if close else len(text)
+            rest = [(start + m.end(), stop)]
+            if close and end <= stop:
+                parts = [(start + m.end(), end)]
+            elif close and close[1] == "END":
+                parts = [(p.start(1), p.end(1)) for p in PEM_BODY.finditer(text, start + m.end(), end)]
+                if not in_key(text, parts) and re.search(r"[A-Za-z0-9+/]{24}", line[m.end():]):
+                    end, parts = stop, rest
+            elif in_key(text, rest):
+                end, parts = stop, rest
+            else:
+                parts = key_body(text, stop + 1, end)
+            if in_key(text, parts):
                 for n, (s, e) in enumerate(parts):  # lines of other things in between are read on their own
                     add(no, s, e, "continued" if n else "private-key")
+                blocks += parts
                 if end <= stop:
                     continue
         if m := HALVES.search(line):
