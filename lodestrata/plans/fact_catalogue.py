@@ -47,6 +47,12 @@ def redaction(s, d):
     return documents(s, d).select("doc_id", F.sha2(r, 256).alias("digest"), (F.length(r) - F.length("text")).alias("growth"), F.substring(r, 1, 80).alias("head"))
 
 
+def git_path_quoting(s, d):
+    paths = table(s, d, "manifest_entry").select(F.lit("manifest_entry").alias("origin"), F.col("entry_id").alias("row_key"), F.col("path").alias("plain"))
+    both = paths.unionByName(documents(s, d).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("row_key"), F.col("text").alias("plain")))
+    return both.select("origin", "row_key", text.quote_git_path("plain").alias("quoted")).withColumn("back", text.unquote_git_path("quoted"))
+
+
 def queries():
     return {
         "key_value_facts": lambda s, d: facts.key_values(texts(s, d)),
@@ -59,7 +65,7 @@ def queries():
         "normalize_paths": normalize_paths,
         "redaction": redaction,
         "utf8_truncate": lambda s, d: documents(s, d).select("doc_id", text.utf8_truncate(200)("text").alias("cut")),
-        "git_path_quoting": lambda s, d: documents(s, d).select("doc_id", text.quote_git_path(F.substring("text", 1, 60)).alias("quoted")).withColumn("back", text.unquote_git_path("quoted")),
+        "git_path_quoting": git_path_quoting,
     }
 
 

@@ -34,3 +34,10 @@ def test_each_query_is_in_one_module():
     names = [n for m in MODULES for n in m.queries()]
     assert len(names) == len(set(names))
     assert all(set(m.oracle_sql()) <= set(m.queries()) for m in MODULES)
+
+
+def test_whole_texts_and_all_paths_come_back_from_quoting(spark):
+    rows = fact_catalogue.queries()["git_path_quoting"](spark, FOLDER).collect()
+    plain = {("documents", r.doc_id): r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect() if r.text is not None}
+    plain |= {("manifest_entry", r.entry_id): r.path for r in spark.read.parquet(f"{FOLDER}/manifest_entry.parquet").collect()}
+    assert {(r.origin, r.row_key): r.back for r in rows} == plain and len(rows) == len(plain) and max(len(x) for x in plain.values() if x) > 60
