@@ -38,6 +38,11 @@ def publish_read(s, d):
     return generations.read(s, root, key, "edges").groupBy("kind").agg(F.count("*").alias("n"), F.min("edge_id").alias("least"), F.max("edge_id").alias("most"))
 
 
+def generation_root(s, d):
+    edges = graph_catalogue.edges(s, d)
+    return generations.root_hash(edges, edges.columns)
+
+
 def report_sinks(s, d):
     path = f"{shared_dir(s)}/sink-{ids.__name__}-{abs(hash((d, s.sparkContext.applicationId, id(s))))}-{table(s, d, 'nation').rdd.id()}"
     sinks.write_json_lines(table(s, d, "documents").select("doc_id", "source", F.length("text").alias("length")), path)
@@ -92,7 +97,7 @@ def queries():
         "sarif_roundtrip": sarif_roundtrip,
         "report_formats": lambda s, d: reports.read_reports(sarif_reports(s, d).unionByName(table(s, d, "publication_raw").select(F.col("record_id").cast("string").alias("report_id"), "payload")))[1].groupBy("format").agg(F.count("*").alias("n")),
         "generation_publish_read": publish_read,
-        "generation_root": lambda s, d: generations.root_hash(table(s, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"]),
+        "generation_root": generation_root,
         "report_sinks": report_sinks,
         "markdown_sink": markdown,
         "top1_locator": top1_locator,

@@ -25,17 +25,24 @@ def generation_key(schema_version: int, digests: list[str]) -> str:
     return h.hexdigest()
 
 
-def root_hash(rows: DataFrame, columns: list[str], blocks: int = 64) -> DataFrame:
+def root_hash(rows: DataFrame, columns: list[str], most: int = 50_000) -> DataFrame:
     """One row (rows, root): a hash over the rows in canonical order.
 
-    Rows are hashed, sorted within ``blocks`` ranges of their hash and chained per
-    block; the root chains the blocks. The order of the input does not matter, and
-    no task holds more than a block.
+    Equal rows are hashed once with their number. Hashes are put into blocks by
+    their first digits, as many as keep a block at about half of ``most``, sorted
+    and chained; blocks are chained in levels of 4,096 up to the root. The order of
+    the input does not matter, and no task holds more than a block at once.
     """
-    hashed = rows.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h"))
-    block = F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % blocks
-    per = hashed.groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return per.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), ""), 256).alias("root"))
+    hashed = rows.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("key"))
+    per = cut(hashed.groupBy("key").agg(F.count("*").alias("rows"))).withColumn("d", F.concat_ws(":", "key", "rows"))
+    n, digits = per.count(), 0
+    while 16**digits * most < 2 * n:
+        digits += 1
+    chained = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "d"))), lambda x: F.concat_ws("=", x["key"], x["d"])), ","), 256)
+    while digits > 0:
+        per = per.groupBy(F.substring("key", 1, digits).alias("key")).agg(F.sum("rows").alias("rows"), chained.alias("d"))
+        digits -= 3
+    return per.agg(F.sum("rows").alias("rows"), chained.alias("root"))
 
 
 def _fs(spark: SparkSession, path: str):

@@ -41,3 +41,7 @@ def test_whole_texts_and_all_paths_come_back_from_quoting(spark):
     plain = {("documents", r.doc_id): r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect() if r.text is not None}
     plain |= {("manifest_entry", r.entry_id): r.path for r in spark.read.parquet(f"{FOLDER}/manifest_entry.parquet").collect()}
     assert {(r.origin, r.row_key): r.back for r in rows} == plain and len(rows) == len(plain) and max(len(x) for x in plain.values() if x) > 60
+
+
+def test_root_covers_the_edges_of_a_generation(spark):
+    assert source_catalogue.queries()["generation_root"](spark, FOLDER).first().rows == graph_catalogue.edges(spark, FOLDER).count()

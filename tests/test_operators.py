@@ -261,3 +261,11 @@ def test_evidence_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("severity", "confidence", "reports").distinct().collect()
     assert [tuple(r) for r in got] == [("error", "high", 2)]
+
+
+def test_root_of_many_rows_in_bounded_blocks(spark):
+    df = spark.range(0, 30_000).selectExpr("id", "id % 7 as v")
+    roots = [generations.root_hash(x, ["id", "v"], most=20).first() for x in (df, df.orderBy(F.desc("id")).repartition(7))]  # 3,000 blocks and more, in two levels
+    assert roots[0] == roots[1] and roots[0].rows == 30_000
+    others = [df.where("id <> 5"), df.unionByName(df.where("id = 5")), df.withColumn("v", F.when(F.col("id") == 5, 9).otherwise(F.col("v")))]
+    assert len({roots[0].root, *[generations.root_hash(x, ["id", "v"], most=20).first().root for x in others]}) == 4
