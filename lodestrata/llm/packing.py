@@ -44,7 +44,6 @@ POOR = 0.97  # containers filled less are packed once more
 SIZES = "doc_id bigint, piece_no int, start_token int, n_tokens int, n_loss int"
 PLACES = "container_id bigint, doc_id bigint, piece_no int, start_token int, n_tokens int, n_loss int, position int, fill double"
 QUOTED = re.compile(r"^[ \t]*>.*\n?", re.M)
-RUN = re.compile(r"\S{4096,}")
 
 
 @lru_cache(maxsize=2)
@@ -58,10 +57,8 @@ def tokenizer(path: str):
 
 
 def token_counts(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text; runs without white space are cut each 4,096 characters first, which keeps time linear."""
-    t = tokenizer(path)
-    spaced = [RUN.sub(lambda m: " ".join(m[0][i:i + 4096] for i in range(0, len(m[0]), 4096)), x) if len(x) > 4096 else x for x in texts]
-    return [len(x) for x in t.encode_ordinary_batch(spaced, num_threads=1)]
+    """Tokens of each text, as the tokenizer has them."""
+    return [len(x) for x in tokenizer(path).encode_ordinary_batch(texts, num_threads=1)]
 
 
 def sized(docs: DataFrame, capacity: int, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -273,6 +273,19 @@ def test_packed_frame(spark):
     assert packing.packed(docs.limit(0)).collect() == []
 
 
+def test_long_runs_count_as_the_tokenizer_has_them():
+    r = random.Random(8)
+    texts = ["x" * 20_000, "".join(r.choices("abcdefghij", k=20_000)), "a b", "中" * 9_000]
+    assert packing.token_counts(texts, packing.TOKENIZER) == [len(packing.tokenizer(packing.TOKENIZER).encode_ordinary(t)) for t in texts]
+
+
+def test_a_loss_limit_below_the_capacity_binds(spark):
+    docs = spark.createDataFrame([(i, "lorem ipsum dolor sit amet " * 3) for i in range(40)] + [(100 + i, "> quoted words of others here\n" * 3) for i in range(40)], "doc_id bigint, text string")
+    tight, loose = [packing.packed(docs, capacity=128, segments=64, loss_tokens=n).toPandas() for n in (64, 128)]
+    loss = [p.groupby("container_id").n_loss.sum().max() for p in (tight, loose)]
+    assert loss[0] <= 64 < loss[1] and len(tight) == len(loose) == 80
+
+
 # --- contamination ---------------------------------------------------------------------------------------------
 
 PASSAGE = ("At the end of the run one of the 112 workers forgets the previous token_stream as soon as the build job starts. Since v1.5.1, the migration step still expects the cached locator for reasons explained in "
