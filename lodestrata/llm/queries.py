@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "p5_redacted": _over(credentials.redacted, "candidate_content", "normalized_fact"),
         "p6_packed": _over(packing.packed, "documents"),
         "p6_containers": _over(lambda docs: packing.containers(packing.packed(docs)), "documents"),
+        "p6_audit": _over(lambda docs: packing.audit(docs, packing.packed(docs)), "documents"),
         "p7_found": _over(contamination.leaked, "documents", "eval_item"),
         "p7_leaks": _over(contamination.leaks, "documents", "eval_item"),
         "p8_found": _over(pii.found_items, "documents"),
@@ -54,6 +55,9 @@ WHERE q.r = (95 * q.n + 99) // 100 AND abs(b.p95_ms - q.v) * 20 > q.v""",
 WITH {SAMPLES}
 SELECT baseline_id, platform_id, p.pct AS pct, v AS value, n
 FROM ranked, (VALUES ('0.5', 50), ('0.9', 90), ('0.95', 95), ('0.99', 99)) AS p(pct, k) WHERE r = (p.k * n + 99) // 100""",
+        "p6_audit": """
+SELECT count(*) AS docs, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS needless, CAST(0 AS BIGINT) AS broken
+FROM documents WHERE text <> ''""",
         "p4_found": r"""
 WITH t AS (SELECT DISTINCT split_id, diff_text FROM split_suggestion WHERE strlen(diff_text) > 12000),
 l AS (SELECT split_id, unnest(string_split(diff_text, chr(10))) AS line, generate_subscripts(string_split(diff_text, chr(10)), 1) AS i FROM t),

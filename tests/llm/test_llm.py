@@ -50,6 +50,29 @@ def test_percentile_error_bound_and_empty(spark):
     assert percentiles.percentiles(percentiles.weights(df.limit(0), ["g"], "v"), ["g"], ["0.5"]).collect() == []
 
 
+@pytest.mark.parametrize("sections", [2, 16])
+@pytest.mark.parametrize("kind,values", [
+    ("double", [0.2, 0.9, 1.7]), ("double", [-1e300, 5e-324, 1e-9, 2.0, 3.5, 1e300, float("inf"), float("-inf"), float("nan"), 0.0, -0.0]), ("decimal(20,4)", ["0.2000", "0.2001", "99999999999.5", "-7.25"]), ("decimal(38,0)", ["9" * 38, "-" + "9" * 38, "1", "2"]),
+    ("float", [0.5, 0.25, 0.125]), ("bigint", [-(1 << 63), (1 << 63) - 1, 0, 1, 2]), ("bigint", [(1 << 62) + i for i in range(300)]), ("int", [3, 1, 2]),
+])
+def test_percentiles_of_any_number_are_values_of_the_column(spark, sections, kind, values):
+    df = spark.createDataFrame([(str(v),) for v in values], "v string").select(F.lit("g").alias("g"), F.col("v").cast(kind).alias("v"))
+    rows = percentiles.counting(df, ["g"], "v")
+    known = sorted(r.value for r in rows.collect())
+    got = {r.pct: r.value for r in percentiles.percentiles(rows, ["g"], ["0.5", "0.95", "0.01"], sections).collect()}
+    assert got == {p: known[-(-int(float(p) * 100) * len(known) // 100) - 1] for p in ("0.5", "0.95", "0.01")}
+
+
+def test_values_of_separate_days_are_united_or_stored_with_the_same_result(spark):
+    r = random.Random(4)
+    days = [spark.createDataFrame([("g", r.randint(0, 10**6)) for _ in range(200)], "g string, v bigint") for _ in range(3)]
+    rows = [percentiles.counting(d, ["g"], "v") for d in days]
+    stored = [percentiles.weights(d, ["g"], "v") for d in days]
+    whole = percentiles.percentiles(rows[0].unionByName(rows[1]).unionByName(rows[2]), ["g"], ["0.5", "0.9"]).collect()
+    apart = percentiles.percentiles(stored[0].unionByName(stored[1]).unionByName(stored[2]), ["g"], ["0.5", "0.9"]).collect()
+    assert sorted(whole) == sorted(apart) and whole[0].n == 600
+
+
 def test_runs_count_once_and_failed_probes_do_not(spark):
     schema = "run_id bigint, baseline_id string, platform_id string, run_date string, samples_ms array<bigint>, received_at string"
     runs = spark.createDataFrame([(1, "b", "p", "d", [100, None, -1, 200], "1"), (1, "b", "p", "d", [100, None, -1, 200], "2"), (2, "b", "p", "d", [], "1"), (3, "b", "p", "e", None, "1"), (4, "b", None, "e", [5], "1")], schema)
@@ -279,11 +302,32 @@ def test_long_runs_count_as_the_tokenizer_has_them():
     assert packing.token_counts(texts, packing.TOKENIZER) == [len(packing.tokenizer(packing.TOKENIZER).encode_ordinary(t)) for t in texts]
 
 
-def test_a_loss_limit_below_the_capacity_binds(spark):
+@pytest.mark.parametrize("limits,binds", [((128, 64, 64), "n_loss"), ((128, 2, 128), "n_segments"), ((64, 64, 64), "n_tokens")])
+def test_each_limit_binds(spark, limits, binds):
     docs = spark.createDataFrame([(i, "lorem ipsum dolor sit amet " * 3) for i in range(40)] + [(100 + i, "> quoted words of others here\n" * 3) for i in range(40)], "doc_id bigint, text string")
-    tight, loose = [packing.packed(docs, capacity=128, segments=64, loss_tokens=n).toPandas() for n in (64, 128)]
-    loss = [p.groupby("container_id").n_loss.sum().max() for p in (tight, loose)]
-    assert loss[0] <= 64 < loss[1] and len(tight) == len(loose) == 80
+    names = dict(zip(("n_tokens", "n_segments", "n_loss"), limits))
+    per = {loose: packing.containers(packing.packed(docs, **dict(zip(("capacity", "segments", "loss_tokens"), (n if k == binds or not loose else 10_000 for k, n in names.items()))))).toPandas() for loose in (False, True)}
+    assert all((per[False][k] <= n).all() for k, n in names.items()) and per[True][binds].max() <= names[binds]
+    free = packing.containers(packing.packed(docs, 10_000, 10_000, 10_000)).toPandas()
+    assert free[binds].max() > names[binds] and len(per[True]) > len(free)
+
+
+def test_loss_is_counted_in_each_piece_and_whole_texts_stay_whole(spark):
+    encoding, lengths = packing.of_ranks(packing.read_ranks(packing.TOKENIZER))
+    text = "plain wörds first\n> quoted words\n```\ncode here\n```\nplain again\n    indented log\nend"
+    tokens = encoding.encode_ordinary(text)
+    loss = packing.bears_loss(text, tokens, lengths)
+    assert encoding.decode([t for t, x in zip(tokens, loss) if x]).split() == "plain wörds first plain again end".split()
+    long = np.array([True] * 70 + [False] * 100 + [True] * 30)
+    pieces = packing.cut_text(long, 64, 50)
+    assert [p[0] for p in pieces] == [0, *np.cumsum([p[1] for p in pieces])[:-1]] and sum(p[1] for p in pieces) == 200
+    assert all(n <= 64 and k <= 50 and k == long[at:at + n].sum() for at, n, k in pieces)
+    assert packing.cut_text(np.ones(60, bool), 64, 50) == [(0, 60, 60)] and packing.cut_text(np.ones(0, bool), 64, 50) == []
+    docs = spark.createDataFrame([(1, "word " * 60), (2, "word " * 10)], "doc_id bigint, text string")
+    places = packing.packed(docs, 64, 8, 50)
+    assert {r.doc_id: r.n_tokens for r in places.collect()} == {1: 61, 2: 11} and places.select("container_id").distinct().count() == 2
+    assert tuple(packing.audit(docs, places, 64, 8, 50).first()) == (2, 0, 0, 0, 0)
+    assert tuple(packing.audit(docs, places.withColumn("container_id", F.lit(1)), 64, 8, 50).first()) == (2, 0, 1, 0, 0)
 
 
 # --- contamination ---------------------------------------------------------------------------------------------
