@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "p3_percentiles": _over(percentiles.group_percentiles, "baseline_run"),
         "p4_found": _over(splitting.oversized_hunks, "split_suggestion"),
         "p4_pieces": _over(splitting.split_pieces, "split_suggestion"),
+        "p4_rebuilt": _over(lambda df: splitting.rebuilt(splitting.split_pieces(df)), "split_suggestion"),
         "p5_found": _over(credentials.found_lines, "candidate_content", "normalized_fact"),
         "p5_redacted": _over(credentials.redacted, "candidate_content", "normalized_fact"),
         "p6_packed": _over(packing.packed, "documents"),
@@ -55,6 +56,8 @@ WHERE q.r = (95 * q.n + 99) // 100 AND abs(b.p95_ms - q.v) * 20 > q.v""",
 WITH {SAMPLES}
 SELECT baseline_id, platform_id, p.pct AS pct, v AS value, n
 FROM ranked, (VALUES ('0.5', 50), ('0.9', 90), ('0.95', 95), ('0.99', 99)) AS p(pct, k) WHERE r = (p.k * n + 99) // 100""",
+        "p4_rebuilt": """
+SELECT DISTINCT split_id, strlen(diff_text) AS n_bytes, md5(diff_text) AS text_md5, TRUE AS within FROM split_suggestion WHERE strlen(diff_text) > 12000""",
         "p6_audit": """
 SELECT count(*) AS docs, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS needless, CAST(0 AS BIGINT) AS broken
 FROM documents WHERE text <> ''""",

@@ -4,7 +4,8 @@ A block of lines slides over the text; the cosine between the words before and
 after each gap falls into valleys where the topic changes. Within each size
 window the deepest valley is taken: among hunk starts if the window holds one,
 else between lines. Each further piece begins with the last lines of the one
-before. Work is per row without a shuffle, time linear in the text.
+before. Work is per row, time linear in the text; texts are not shuffled, but for
+those whose id comes more than once.
 
 Defined results: a text of at most ``limit`` bytes is one piece; a null or empty
 text gives none; a single line longer than the limit is cut between code points;
@@ -15,6 +16,7 @@ gap. Lines end with LF; a CR before it belongs to the line.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,15 +25,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import cut, small
+
 LIMIT = 12_000
 OVERLAP = 3
 BLOCK = 8  # lines on each side of a gap
+YIELD = 8 << 20  # bytes of pieces handed on at once
 FILL = 0.5  # a size window reaches from this share of the limit up to the limit
 HEADER = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@")
 WORD = re.compile(r"[^\W\d_]{2,}")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PIECES = (
-    "split_id bigint, piece_no int, hunk_no int, hunk_header string, start_line int, piece_bytes int, overlap_lines int, "
+    "split_id bigint, text_md5 string, piece_no int, hunk_no int, hunk_header string, start_line int, piece_bytes int, overlap_lines int, overlap_bytes int, "
     "piece string, hunks array<struct<hunk_no:int,hunk_header:string,start_line:int>>"
 )
 
@@ -157,7 +162,7 @@ def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[dic
         out.append({
             "piece_no": len(out) + 1, "hunk_no": hunk_at[lead], "hunk_header": headers.get(hunk_at[lead]),
             "start_line": new_line[first] if hunk_at[first] else new_line[lead] if hunk_at[lead] else None,
-            "piece_bytes": total[end] - total[first], "overlap_lines": shared, "piece": piece,
+            "piece_bytes": total[end] - total[first], "overlap_lines": shared, "overlap_bytes": total[begin] - total[first], "piece": piece,
             "hunks": [{"hunk_no": n, "hunk_header": h, "start_line": s} for i in range(begin, end) if i in starts for n, h, s in [starts[i]]],
         })
         if end < len(lines):
@@ -175,18 +180,41 @@ def split_pieces(
     over = df.select(F.col(id_col).cast("bigint").alias("split_id"), F.col(text_col).alias("diff_text")).where(
         F.octet_length("diff_text") > limit
     )
+    ids = over.groupBy("split_id").agg(F.count("*").alias("n")).where("n > 1 and split_id is not null").select("split_id")
+    again = cut(ids)
+    several = over.join(small(again), "split_id", "left_semi").unionByName(over.where("split_id is null")).dropDuplicates(["split_id", "diff_text"])
+    once = over.where("split_id is not null").join(small(again), "split_id", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in re.sub(r"<.*>", "", PIECES).split(", ")]
+        kinds = {"hunk_no": "Int32", "start_line": "Int32", "split_id": "Int64"}
         for batch in batches:
+            rows, held = [], 0
             for key, text in zip(batch["split_id"], batch["diff_text"]):
-                rows = [{"split_id": key, **p} for p in pieces_of(text, limit, overlap)]
-                yield pd.DataFrame(rows, columns=names).astype({"hunk_no": "Int32", "start_line": "Int32", "split_id": "Int64"})
+                digest = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+                pieces = pieces_of(text, limit, overlap)
+                rows += [{"split_id": key, "text_md5": digest, **p} for p in pieces]
+                held += sum(p["piece_bytes"] for p in pieces)
+                if held > YIELD:
+                    yield pd.DataFrame(rows, columns=names).astype(kinds)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names).astype(kinds)
 
-    return over.dropDuplicates(["split_id", "diff_text"]).mapInPandas(run, PIECES)
+    return once.unionByName(several).mapInPandas(run, PIECES)
 
 
 def oversized_hunks(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(split_id, hunk_no, start_line): every hunk of every row over the limit, as its pieces list them."""
     one = split_pieces(df, limit=limit).select("split_id", F.explode("hunks").alias("h"))
     return one.select("split_id", F.col("h.hunk_no").alias("hunk_no"), F.col("h.start_line").alias("start_line")).distinct()
+
+
+def rebuilt(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(split_id, n_bytes, text_md5, within) of each split text, put together again from its pieces without what they repeat.
+
+    ``within``: no piece is over the limit. The pieces of one text meet in one row.
+    """
+    own = F.expr("substring(encode(piece, 'UTF-8'), overlap_bytes + 1)")
+    parts = pieces.groupBy("split_id", "text_md5").agg(F.sort_array(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("parts"), F.max("piece_bytes").alias("longest"))
+    whole = F.concat_ws("", F.transform("parts", lambda x: F.hex(x["own"])))
+    return parts.select("split_id", (F.length(whole) / 2).cast("bigint").alias("n_bytes"), F.md5(F.unhex(whole)).alias("text_md5"), (F.col("longest") <= limit).alias("within"))

@@ -131,11 +131,42 @@ def test_valleys_separate_topics():
     assert int(np.argmin(s[1:])) + 1 == 20 and int(np.argmax(splitting.depths(s))) == 20
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_lie_at_the_deepest_valley_of_their_window(seed):
+    r = random.Random(seed)
+    topics = [["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(9)] for _ in range(12)]
+    lines = ["+" + " ".join(r.choices(topics[i // 14 % 12], k=r.randint(3, 8))) + "\n" for i in range(300)]
+
+    def cosine(i):  # straight from the words of the blocks before and after
+        a, b = [splitting.Counter(w for x in part for w in splitting.WORD.findall(x)) for part in (lines[max(0, i - splitting.BLOCK):i], lines[i:i + splitting.BLOCK])]
+        return sum(a[w] * b[w] for w in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5 if a and b else 0.0
+
+    near = [cosine(i) for i in range(len(lines))]
+    depth = []
+    for i, v in enumerate(near):
+        lo = hi = i
+        while lo and near[lo - 1] > near[lo]:
+            lo -= 1
+        while hi + 1 < len(near) and near[hi + 1] > near[hi]:
+            hi += 1
+        depth.append(near[lo] + near[hi] - 2 * v)
+    size, end = [len(x) for x in lines], 0
+    pieces = splitting.pieces_of("".join(lines), 1200)
+    for p in pieces[:-1]:
+        begin, first = end, end - p["overlap_lines"]
+        end = first + p["piece"].count("\n")
+        window = [i for i in range(begin + 1, len(lines)) if 600 <= sum(size[first:i]) <= 1200]
+        assert end in window and depth[end] == pytest.approx(max(depth[i] for i in window))
+    assert len(pieces) > 5
+
+
 def test_split_frame_takes_nulls_repeats_and_extra_columns(spark):
     big = "@@ -1 +7 @@\n" + "+w\n" * 6000
     df = spark.createDataFrame([(1, big, "x"), (1, big, "x"), (2, None, "x"), (3, "", "x"), (None, big, "x")], "split_id bigint, diff_text string, hunk_no string")
     assert sorted((r.split_id or 0, r.hunk_no, r.start_line) for r in splitting.oversized_hunks(df).collect()) == [(0, 1, 7), (1, 1, 7)]
     assert splitting.oversized_hunks(df.limit(0)).collect() == []
+    two = spark.createDataFrame([(1, big), (1, big), (1, big + "+é\n"), (4, "x" * 30_000)], "split_id bigint, diff_text string")
+    assert sorted((r.split_id, r.n_bytes, r.within) for r in splitting.rebuilt(splitting.split_pieces(two)).collect()) == [(1, len(big), True), (1, len(big) + 4, True), (4, 30_000, True)]
 
 
 # --- credentials -----------------------------------------------------------------------------------------------
