@@ -1,16 +1,21 @@
 """Nested records to flat tables with parent-child links, by shared inlining.
 
-The schema graph is found from the data in two aggregating passes, never assumed:
+The schema graph is found from the data in aggregating passes, never assumed:
 
 1. fields of list items, per element name. They tell a single item written
    without its list (``{"path": ..}``) from a map of items keyed by data
    (``{"legal/NOTICE": {..}}``);
-2. edges parent element -> child element with their multiplicity and kind.
+2. edges parent element -> child element with their multiplicity and kind, and
+   the kinds of scalars, which give the columns their types. An object element
+   with very many distinct keys holds data in its keys and is read as a map of
+   items; the pass is repeated while it shows further maps inside known ones. The
+   root is never a map, so all of its edges stay however many there are.
 
 An element gets a table of its own if it is the root, repeated (under a list or
 a map), shared (reached from more than one parent element) or recursive; every
 other element is a singleton descendant and is inlined into the columns of its
-nearest ancestor that has a table. A third pass emits all rows with their keys.
+nearest ancestor that has a table. A last pass emits all rows with their keys.
+``FlatTables.relation`` gives an element's rows wherever the graph has put them.
 
 Defined results: a null or incomplete payload gives no row in any table and one
 in ``rejected()``; an empty input gives empty tables; the same record delivered
@@ -27,6 +32,7 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,12 +68,38 @@ def opened(value):
     return value
 
 
+KEYS = ["root_id", "row_id", "parent_table", "parent_id", "ordinal", "item_key", "item_value"]
+
+
 def scalar(value) -> str | None:
     if value is None or isinstance(value, str):
         return value
     return json.dumps(value, ensure_ascii=False)
 
 
+TEXT, BOOLEAN, WHOLE, FLOATING, OVER_DOUBLE, OVER_LONG = 1, 2, 4, 8, 16, 32
+
+
+def kind_bit(value) -> int:
+    """The kind of a scalar as a bit, so that kinds add up by bitwise or."""
+    if value is None or isinstance(value, (dict, list)):
+        return 0
+    if isinstance(value, bool):
+        return BOOLEAN
+    if isinstance(value, int):
+        return WHOLE | (OVER_DOUBLE if abs(value) > 1 << 53 else 0) | (OVER_LONG if not -(1 << 63) <= value < 1 << 63 else 0)
+    return FLOATING if isinstance(value, float) else TEXT
+
+
+def column_type(bits: int) -> str:
+    """The narrowest type that holds all kinds seen without loss; text else."""
+    if bits == BOOLEAN:
+        return "boolean"
+    if bits in (WHOLE, WHOLE | OVER_DOUBLE):
+        return "bigint"
+    return "double" if bits in (FLOATING, WHOLE | FLOATING) else "string"
+
+
 @dataclass
 class SchemaGraph:
     """What the two passes found. ``edges``: (parent, child) -> (complex?, repeated?)."""
@@ -75,6 +107,7 @@ class SchemaGraph:
     item_fields: dict[str, set[str]] = field(default_factory=dict)
     maps: set[str] = field(default_factory=set)
     edges: dict[tuple[str, str], tuple[bool, bool]] = field(default_factory=dict)
+    kinds: dict[tuple[str, str], int] = field(default_factory=dict)
     forced: frozenset[str] = frozenset()
 
     def is_map(self, element: str, value: dict) -> bool:
@@ -109,21 +142,27 @@ class SchemaGraph:
                 todo.extend(children.get(at, ()))
         return False
 
-    def columns(self, table: str) -> list[str]:
-        """Scalar columns of ``table``, those of inlined descendants with their path."""
-        own, out = set(self.tables()), []
+    def columns(self, table: str) -> dict[str, str]:
+        """Scalar columns of ``table`` with their types, those of inlined descendants with their path.
+
+        An inlined element that is also written as a scalar has a column for that, of its own name.
+        """
+        own, out = set(self.tables()), {}
+        children = defaultdict(list)
+        for (parent, child), (deep, many) in sorted(self.edges.items()):
+            if not many:
+                children[parent].append((child, deep))
 
         def walk(element: str, prefix: str, on_way: tuple[str, ...]) -> None:
-            for (parent, child), (deep, many) in sorted(self.edges.items()):
-                if parent != element or many:
-                    continue
-                if not deep:
-                    out.append(prefix + child)
-                elif child not in own and child not in on_way:
+            for child, deep in children[element]:
+                bits = self.kinds.get((element, child), 0)
+                if not deep or bits and child not in own:
+                    out[prefix + child] = column_type(bits)
+                if deep and child not in own and child not in on_way:
                     walk(child, f"{prefix}{child}.", (*on_way, child))
 
         walk(table, "", (table,))
-        return sorted(set(out))
+        return dict(sorted(out.items()))
 
 
 def _items(graph: SchemaGraph, element: str, value) -> tuple[list[tuple[str | None, object]], str]:
@@ -165,7 +204,7 @@ def _fields_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _edges(graph: SchemaGraph):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: dict[tuple[str, str], list[bool]] = {}
+            found: dict[tuple[str, str], list] = {}
             for text in batch["payload"]:
                 try:
                     todo = [(ROOT, decoded(text))]
@@ -181,14 +220,16 @@ def _edges(graph: SchemaGraph):
                     for child, inner in value.items():
                         inner = opened(inner)
                         items, form = _items(graph, child, inner)
-                        seen = found.setdefault((name, child), [False] * 4)
+                        seen = found.setdefault((name, child), [False, False, False, False, 0])
                         seen[0] |= any(isinstance(v, (dict, list)) for _, v in items)
                         seen[1] |= form == "many"
                         seen[2] |= form == "listed"
                         seen[3] |= form == "bare"
+                        for _, v in items:
+                            seen[4] |= kind_bit(v)
                         todo.extend((child, v) for _, v in items if isinstance(v, (dict, list)))
             rows = [(p, c, *seen) for (p, c), seen in found.items()]
-            yield pd.DataFrame(rows, columns=["parent", "child", "deep", "many", "listed", "bare"])
+            yield pd.DataFrame(rows, columns=["parent", "child", "deep", "many", "listed", "bare", "kinds"])
 
     return run
 
@@ -256,56 +297,84 @@ class FlatTables:
         return self.graph.tables()
 
     def table(self, name: str) -> DataFrame:
-        """Columns root_id, row_id, parent_table, parent_id, ordinal, item_key, item_value, then the element's own."""
+        """Columns root_id, row_id, parent_table, parent_id, ordinal, item_key, item_value, then the element's own with their types."""
         own = self.long.where(F.col("table") == name).dropDuplicates(["root_id", "row_id"])
-        keys = ["root_id", "row_id", "parent_table", "parent_id", "ordinal", "item_key", "item_value"]
-        return own.select(*keys, *[F.col("cols")[c].alias(c) for c in self.graph.columns(name)])
+        return own.select(*KEYS, *[F.col("cols")[c].cast(kind).alias(c) for c, kind in self.graph.columns(name).items()])
+
+    def relation(self, name: str) -> DataFrame:
+        """The rows of an element: those of its table, or those inlined into the tables of its ancestors.
+
+        An inlined row has its ancestor's row as parent and a row_id made from it. The columns are ``table``'s.
+        """
+        if name in self.names():
+            return self.table(name)
+        parts = []
+        for table in self.names():
+            for path in sorted({c[:c.index(f".{name}.") + len(name) + 1] if f".{name}." in c else name for c in self.graph.columns(table) if c.startswith(f"{name}.") or f".{name}." in c or c == name}):
+                held = self.long.where(F.col("table") == table).dropDuplicates(["root_id", "row_id"])
+                mine = {c[len(path) + 1:]: kind for c, kind in self.graph.columns(table).items() if c.startswith(f"{path}.")}
+                present = F.coalesce(F.col("cols")[path].isNotNull(), F.lit(False)) | F.exists(F.map_keys("cols"), lambda k: k.startswith(f"{path}."))
+                parts.append(held.where(present).select(
+                    "root_id", F.concat("row_id", F.lit(f"/{path}.0")).alias("row_id"), F.col("table").alias("parent_table"), F.col("row_id").alias("parent_id"),
+                    F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("item_key"), F.col("cols")[path].alias("item_value"),
+                    *[F.col("cols")[f"{path}.{c}"].cast(kind).alias(c) for c, kind in mine.items()],
+                ))
+        if not parts:
+            return self.long.where(F.lit(False)).select(*KEYS)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def rejected(self) -> DataFrame:
         return self.long.where(F.col("table") == "_rejected").select("root_id").distinct()
 
 
-def _narrow(pairs: DataFrame, key: str, max_fields: int, most: int = 50_000) -> tuple[list, list[str]]:
-    """Rows of ``pairs`` whose key has at most ``max_fields`` of them, and the keys with more.
+def _narrow(pairs: DataFrame, key: str, max_fields: int, most: int) -> tuple[list, list[str]]:
+    """Rows of ``pairs`` whose key has at most ``max_fields`` of them or is the root, and the other keys.
 
     The driver gets the schema, never data: beyond ``most`` rows it refuses.
     """
     sizes = pairs.groupBy(key).agg(F.count("*").alias("n_of_key"))
-    wide = [r[0] for r in sizes.where(F.col("n_of_key") > max_fields).select(key).limit(most + 1).collect()]
-    kept = pairs.join(sizes.where(F.col("n_of_key") <= max_fields), key).limit(most + 1).collect()
+    narrow = (F.col("n_of_key") <= max_fields) | (F.col(key) == ROOT)
+    wide = [r[0] for r in sizes.where(~narrow).select(key).limit(most + 1).collect()]
+    kept = pairs.join(sizes.where(narrow), key).limit(most + 1).collect()
     if len(kept) > most or len(wide) > most:
         raise ValueError(f"the schema has more than {most} elements; name its maps by a lower max_fields")
     return kept, wide
 
 
 def shared_inlining(
-    df: DataFrame, id_col: str, payload_col: str, force_tables: tuple[str, ...] = (), max_fields: int = 400, item_hints: dict[str, set[str]] | None = None,
+    df: DataFrame, id_col: str, payload_col: str, force_tables: tuple[str, ...] = (), max_fields: int = 400, item_hints: dict[str, set[str]] | None = None, most: int = 50_000,
 ) -> FlatTables:
     """Shred ``df[payload_col]`` (JSON) into flat tables keyed by ``df[id_col]``.
 
     ``force_tables``: elements that keep a table even if they could be inlined.
     ``item_hints``: fields of an element's items that are known beforehand; they
     tell its maps apart even where these data hold no list of it.
-    ``max_fields``: an object element with more distinct keys than that holds
-    data in its keys and is read as a map of items. What the driver collects is
-    the schema graph only: at most ``max_fields`` children for each element.
+    ``max_fields``: an object element (but the root) with more distinct keys than
+    that holds data in its keys and is read as a map of items, one row each. What
+    the driver collects is the schema graph only; with more than ``most`` edges it
+    refuses with a ValueError.
     """
     source = df.select(F.col(id_col).cast("string").alias("root_id"), F.col(payload_col).cast("string").alias("payload"))
     payloads = source.select("payload")
     listed = payloads.mapInPandas(_fields_of_items, "element string, field string").distinct()
     graph = SchemaGraph(forced=frozenset(force_tables))
-    for row in _narrow(listed, "element", max_fields)[0]:
+    for row in _narrow(listed, "element", max_fields, most)[0]:
         graph.item_fields.setdefault(row.element, set()).add(row.field)
     for element, fields in (item_hints or {}).items():
         graph.item_fields.setdefault(element, set()).update(fields)
-    for _ in range(8):  # a map inside a map inside .. shows only once the outer one is known
-        edges = payloads.mapInPandas(_edges(graph), "parent string, child string, deep boolean, many boolean, listed boolean, bare boolean")
-        edges = edges.groupBy("parent", "child").agg(*[F.max(c).alias(c) for c in ("deep", "many", "listed", "bare")])
-        found, wide = _narrow(edges, "parent", max_fields)
-        if not set(wide) - graph.maps - {ROOT}:
+    while True:  # a map inside a map inside .. shows only once the outer one is known; each round knows one more
+        edges = payloads.mapInPandas(_edges(graph), "parent string, child string, deep boolean, many boolean, listed boolean, bare boolean, kinds int")
+        edges = edges.groupBy("parent", "child").agg(*[F.max(c).alias(c) for c in ("deep", "many", "listed", "bare")], F.bit_or("kinds").alias("kinds"))
+        found, wide = _narrow(edges, "parent", max_fields, most)
+        if not set(wide) - graph.maps:
             break
-        graph.maps |= set(wide) - {ROOT}
+        graph.maps |= set(wide)
+    if wide:  # items of a map that have very many different keys themselves: their edges are kept as well
+        found = edges.limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"items of {sorted(wide)[:3]} have more than {most} different keys")
     graph.edges = {(r.parent, r.child): (r.deep, r.many or r.listed and not r.bare) for r in found}
+    graph.kinds = {(r.parent, r.child): r.kinds for r in found}
     return FlatTables(graph, cut(source.mapInPandas(_shred(graph), LONG)))
 
 
@@ -314,12 +383,8 @@ def column_or_null(table: DataFrame, name: str):
     return F.col(f"`{name}`") if name in table.columns else F.lit(None).cast("string")
 
 
-# Fields of the repeated parts of publications.
-PUBLICATION_ITEMS = {
-    "platforms": {"platform_id", "license_files", "executable", "baseline_binding", "subjects", "composition", "published"},
-    "packs": {"platform_id", "license_files", "executable", "pack_sha256", "published", "state", "artifact_id"},
-    "license_files": {"path", "size", "sha256"}, "executable": {"path", "size", "sha256"}, "baseline_binding": {"fixture_id", "fixture_sha256", "profile_sha256", "toolchain"},
-}
+#: What names the items of maps in publications; all else is found in the data.
+PUBLICATION_NAMES = {"platforms": {"platform_id"}, "packs": {"platform_id"}, "license_files": {"path"}}
 
 
 def publication_tables(raw: DataFrame) -> dict[str, DataFrame]:
@@ -327,31 +392,33 @@ def publication_tables(raw: DataFrame) -> dict[str, DataFrame]:
 
     Each keeps ``row_id`` and ``parent_id``; platforms and packs are one table.
     License files, bindings and executables are those that a platform or pack
-    itself lists, not those quoted deeper inside its attestations.
+    itself lists, not those quoted deeper inside its attestations. Sizes are
+    bigint and flags boolean, null where they are written as something else.
     """
-    flat = shared_inlining(raw, "record_id", "payload", force_tables=tuple(sorted(PUBLICATION_ITEMS)), item_hints=PUBLICATION_ITEMS)
+    flat = shared_inlining(raw, "record_id", "payload", item_hints=PUBLICATION_NAMES)
     own = F.col("parent_table").isin("platforms", "packs")
 
     def of(name: str, **columns: str) -> DataFrame:
-        table = flat.table(name)
-        picked = {new: column_or_null(table, old) for new, old in columns.items()}
-        return table.select(
+        rows = flat.relation(name)
+        picked = {new: column_or_null(rows, new).cast("string").try_cast(kind) for new, kind in columns.items()}
+        return rows.select(
             F.col("root_id").cast("bigint").alias("record_id"), "row_id", "parent_id", "parent_table", "ordinal",
             "item_key", "item_value", *[c.alias(n) for n, c in picked.items()],
         )
 
-    platform_cols = {"platform_id": "platform_id", "published": "published", "state": "state", "pack_sha256": "pack_sha256"}
+    platform_cols = {"platform_id": "string", "published": "boolean", "state": "string", "pack_sha256": "string"}
     platforms = of("platforms", **platform_cols).withColumn("kind", F.lit("platform")).unionByName(
         of("packs", **platform_cols).withColumn("kind", F.lit("pack"))
     )
     platforms = platforms.withColumn("platform_id", F.coalesce("platform_id", "item_key"))
-    licenses = of("license_files", path="path", size="size", sha256="sha256").where(own)
+    file_cols = {"path": "string", "size": "bigint", "sha256": "string"}
+    licenses = of("license_files", **file_cols).where(own)
     licenses = licenses.withColumn("path", F.coalesce("path", "item_key", "item_value"))
-    executables = of("executable", path="path", size="size", sha256="sha256").where(own)
+    executables = of("executable", **file_cols).where(own)
     executables = executables.withColumn("path", F.coalesce("path", "item_value"))
-    bindings = of("baseline_binding", fixture_id="fixture_id", runner_class="runner_class", toolchain="toolchain").where(own)
+    bindings = of("baseline_binding", fixture_id="string", runner_class="string", toolchain="string").where(own)
     top = flat.table(ROOT)
-    either = lambda name: F.coalesce(column_or_null(top, name), column_or_null(top, f"record.{name}"))
+    either = lambda name: F.coalesce(column_or_null(top, name).cast("string"), column_or_null(top, f"record.{name}").cast("string"))
     records = top.select(
         F.col("root_id").cast("bigint").alias("record_id"), "row_id", "ordinal", either("artifact_id").alias("artifact_id"),
         either("kind").alias("record_kind"), either("pack_version").alias("pack_version"), either("commit").alias("commit"),
@@ -380,3 +447,14 @@ def license_links(raw: DataFrame) -> DataFrame:
         F.coalesce("fixture_id", F.lit("")).alias("fixture_id"),
         F.coalesce("sha256", F.lit("")).alias("executable_sha256"),
     ).distinct()
+
+
+def link_counts(raw: DataFrame) -> DataFrame:
+    """(record_id, platforms, license_files, bindings, executables): different ones of each record, counted along the parent links."""
+    t = publication_tables(raw)
+    plat = t["platforms"].select(F.col("row_id").alias("parent_id"), "record_id", "platform_id")
+    of = lambda name, *keys: t[name].drop("record_id", "platform_id").join(plat, "parent_id").select("record_id", F.lit(name).alias("what"), F.struct("platform_id", *keys).alias("key"))
+    parts = [plat.select("record_id", F.lit("platforms").alias("what"), F.struct("platform_id", F.lit("").alias("path")).alias("key")), of("license_files", "path")]
+    parts += [of("bindings", F.lit("").alias("path")), of("executables", F.lit("").alias("path"))]
+    found = reduce(DataFrame.unionByName, parts).where("what <> 'license_files' or key.path is not null").distinct()
+    return found.groupBy("record_id").agg(*[F.count_if(F.col("what") == n).alias(n) for n in ("platforms", "license_files", "bindings", "executables")])

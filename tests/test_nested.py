@@ -50,7 +50,7 @@ def test_recursive_elements_get_a_table(spark):
     rows = [(1, json.dumps({"node": {"v": 1, "node": {"v": 2, "node": {"v": 3}}}}))]
     flat = nested.shared_inlining(frame(spark, rows), "record_id", "payload")
     assert "node" in flat.names()
-    assert sorted(r.v for r in flat.table("node").collect()) == ["1", "2", "3"]
+    assert sorted(r.v for r in flat.table("node").collect()) == [1, 2, 3]
 
 
 def test_objects_with_too_many_keys_are_maps(spark):
@@ -63,3 +63,41 @@ def test_objects_with_too_many_keys_are_maps(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_nothing_gives_nothing(spark, rows):
     assert nested.license_links(frame(spark, rows)).collect() == []
+
+
+def test_the_root_keeps_all_edges_however_many(spark):
+    wide = {f"f{i}": i for i in range(450)} | {"platforms": [{"platform_id": "p", "n": 1}, {"platform_id": "q", "n": 2}]}
+    flat = nested.shared_inlining(frame(spark, [(1, json.dumps(wide))]), "record_id", "payload")
+    assert {r.platform_id for r in flat.table("platforms").collect()} == {"p", "q"} and len(flat.graph.columns("document")) == 450
+    assert flat.table("document").first().f449 == 449
+    with pytest.raises(ValueError):
+        nested.shared_inlining(frame(spark, [(1, json.dumps(wide))]), "record_id", "payload", most=300)
+
+
+def test_maps_within_maps_of_any_depth(spark):
+    def deep(level):
+        return {f"k{level}-{i}": {"inner": deep(level - 1)} if level else {"v": i} for i in range(3)}
+
+    value = {"m": 1}
+    for level in range(10):
+        value = {f"x{level}-{i}": {f"c{level}": value} for i in range(3)}
+    rows = [(1, json.dumps({"top": value})), (2, json.dumps({"top": {f"y{i}": {"c9": {"z": {"c8": {}}}} for i in range(5)}}))]
+    flat = nested.shared_inlining(frame(spark, rows), "record_id", "payload", max_fields=2)
+    assert flat.graph.maps >= {"top", "c9", "c8", "c5", "c1"}
+    assert flat.table("top").count() == 8 and flat.table("c9").count() == 9 + 5
+
+
+def test_columns_have_types_and_inlined_elements_are_relations(spark):
+    rows = [
+        (1, json.dumps({"items": [{"n": 1, "x": 1.5, "ok": True, "s": "a", "mixed": 1, "big": 1 << 70, "part": {"q": 7}}, {"n": 2, "x": 2, "mixed": "b"}]})),
+        (2, json.dumps({"items": [{"n": (1 << 63) - 1, "part": "bare"}, {"n": None}]})),
+    ]
+    flat = nested.shared_inlining(frame(spark, rows), "record_id", "payload")
+    kinds = dict(flat.table("items").dtypes)
+    assert {c: kinds[c] for c in ("n", "x", "ok", "s", "mixed", "big")} == {"n": "bigint", "x": "double", "ok": "boolean", "s": "string", "mixed": "string", "big": "string"}
+    assert {r.n for r in flat.table("items").collect()} == {1, 2, (1 << 63) - 1, None} and {r.big for r in flat.table("items").collect()} == {str(1 << 70), None}
+    assert "part" not in flat.names()
+    part = flat.relation("part").collect()
+    assert sorted((r.q or 0, r.item_value or "") for r in part) == [(0, "bare"), (7, "")] and {r.parent_table for r in part} == {"items"}
+    assert {r.parent_id for r in part} <= {r.row_id for r in flat.table("items").collect()}
+    assert flat.relation("nowhere").collect() == []
