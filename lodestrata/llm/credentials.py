@@ -1,21 +1,26 @@
 """Credentials in source and configuration: find, locate by byte, and blank.
 
-A trigger automaton runs over the bytes and names the lines worth parsing. Those
-are parsed as assignments of the common configuration formats (TOML, INI, YAML,
-JSON, dotenv, Dockerfile, shell, SQL and constants or keyword arguments in code)
-into key paths with byte offsets; the key's words and the value's shape decide.
+A trigger automaton runs over the bytes and names the texts and lines worth
+parsing. A text in a configuration format (JSON, YAML, TOML, INI, properties,
+dotenv, XML) that has a trigger is parsed whole into key paths with byte offsets
+(``keypaths``): the words of the path, from the last name up through names like
+``value`` that say nothing themselves, and the shape of the value decide. Lines
+of other texts, and what such a parse does not reach (comments, commands,
+statements, constants or keyword arguments in code), are parsed as assignments.
 Values of well-known token shapes, URLs with a password, authorisation headers
 and private key blocks count under any key. Redactions are spliced into the
 original bytes, so quotes, line ends and everything around them stay.
 
-Offsets are bytes of the original. UTF-16 with a byte order mark is read through
-its text; all other encodings keep ASCII bytes in place and are read bytewise.
+Offsets are bytes of the original. UTF-16, with a byte order mark or told by its
+zero bytes, is read through its text; all other encodings keep ASCII bytes in
+place and are read bytewise. Time is linear in the text.
 
-Defined results: null or empty content and binary content give no row; repeated
+Defined results: null or empty content and binary content (flagged so, or with
+more than one zero byte in a hundred) give no row; repeated
 rows count once; a literal split over lines or halves counts where it begins;
 several literals on one line are one row of ``p5_found`` and one span each of
-``spans``; placeholders, references, masked values, digests, public keys, ids
-and plain numbers are not credentials.
+``spans``; placeholders, references, masked values, digests, public keys and ids
+are not credentials; figures alone are under a password's name only, from six.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm import keypaths
+
 # Shapes of well-known tokens.
 SHAPES = re.compile(
     r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[posur]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[A-Za-z0-9_-]{18,}|npm_[A-Za-z0-9]{30,}"
@@ -41,17 +48,20 @@ PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 PEM_EDGE = re.compile(r"-----(END|BEGIN) [A-Z0-9 ]*KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"(?m)^[ \t]*(?://+|#+|--|\*|;+)?[ \t]*([A-Za-z0-9+/]{8,}={0,2})[ \t]*\r?$")
 PEM_HEADER = re.compile(r"[ \t]*(?://+|#+|--|\*|;+)?[ \t]*(?:[A-Z][A-Za-z-]{2,20}: [^\n]*)?\r?")
-URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`]*:([^\s@\"'`]{1,200})@[A-Za-z0-9\[]")
+SCHEME = re.compile(r"(?<![A-Za-z0-9_])[a-z][a-z0-9+.-]{1,20}$")
+USER = re.compile(r"[^/:]*:")
+URL_PART = re.compile(r"(?<![^\s@\"'`])[^\s@\"'`]+@(?=[A-Za-z0-9\[])")
 AUTH = re.compile(r"(?i)\bauthorization\b[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic|token|apikey|digest)\s+)([A-Za-z0-9+/=_.~-]{8,})")
 FLAG = re.compile(r"(?i)(?:^|\s)--?(?:[a-z]+-)*(password|passwd|pass|pwd|secret|token|api-?key)(?:\s+|=)(\"[^\"]+\"|'[^']+'|\S+)")
 SSHPASS = re.compile(r"\bsshpass\s+-p\s*(\"[^\"]+\"|'[^']+'|\S+)")
 IDENTIFIED = re.compile(r"(?i)\b(?:identified\s+by|with\s+(?:encrypted\s+)?password|password)\s+(?:password\s+)?'((?:[^']|'')+)'")
 OLD = re.compile(r"(?i)\b(?:old|former|previous|current|new|temp(?:orary)?|default)\s+(password|passwd|passphrase|secret|token|pw|pwd|api[ _-]?key|key|credentials?)\b[^:=\n]{0,40}[:=]\s*(\S+)")
 ASSIGN = re.compile(
-    r"(?P<kq>[\"']?)(?P<key>[A-Za-z_][\w.\-]{0,80})(?P=kq)"
+    r"(?<![\w.\-])(?P<kq>[\"']?)(?P<key>[A-Za-z_][\w.\-]*)(?P=kq)"
     r"(?:\s*:\s*&?(?:'static\s+)?(?:str|String|string|String\?|char\s*\*|&str|bytes|Vec<u8>)\s*=|\s*:=|\s*=>|\s*[=:](?!=|/))"
-    r"[ \t]*(?P<val>\(?\s*[bruf]{0,2}\"(?:[^\"\\\n]|\\.)*\"|\(?\s*[bruf]{0,2}'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s,;)}\]][^\s,;]*)?"
+    r"[ \t]*(?P<val>\(?\s*[bruf]{0,2}\"(?:[^\"\\\n]|\\.)*\"|\(?\s*[bruf]{0,2}'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s,;)}\]])?"
 )
+UNQUOTED = re.compile(r"[^\s,;]*")
 XML = re.compile(r"<(?P<key>[A-Za-z_][\w.\-]*)>(?P<val>[^<>\n]+)</(?P=key)>")
 NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(\S+)")
 CONTINUED = re.compile(r"[\"']\s*(?:\+|\\|\.|&|\|\|)?\s*\r?\n\s*(?://|#|--)?\s*[bruf]{0,2}[\"']((?:[^\"'\\\n]|\\.)*)[\"']")
@@ -66,6 +76,10 @@ HARMLESS = frozenset(
     "policy rule hint label field column prefix suffix size algorithm public pub fingerprint checksum version tokens budget usage uuid header regex "
     "pattern prompt env var variable manager provider store".split()
 )
+# Keys that say nothing of their own about their value, so that the name above them decides, and words of passwords that may be figures.
+PLAIN_KEYS = frozenset("value val data content text default plain plaintext raw literal current string".split())
+HOLDERS = frozenset("secrets passwords credentials".split())
+PASSWORDS = frozenset("password passwd passwort passphrase passcode pwd pw pass kennwort contrasena motdepasse".split())
 # What opens a look at a line (lower case). In words: the least of them that every sensitive key holds, the letters of a key taken together.
 # As written: the heads of SHAPES, and what the other patterns cannot do without.
 WORDS = tuple(sorted(w for w in SENSITIVE | {"key"} if not any(v in w for v in (SENSITIVE | {"key"}) - {w})))
@@ -126,6 +140,19 @@ def worth_parsing(text: str) -> list[int]:
     return sorted(todo)
 
 
+def url_passwords(line: str) -> Iterator[tuple[int, int]]:
+    """Spans of passwords in ``scheme://user:password@host``, found from the ``@`` back."""
+    for m in URL_PART.finditer(line):
+        mark = line.find("://", *m.span())
+        while mark >= 0:
+            if SCHEME.search(line, max(m.start(), mark - 22), mark):
+                user = USER.match(line, mark + 3, m.end() - 1)
+                if user and user.end() < m.end() - 1:
+                    yield user.end(), m.end() - 1
+                    break
+            mark = line.find("://", mark + 3, m.end())
+
+
 def in_key(text: str, parts: list[tuple[int, int]]) -> bool:
     """Whether the spans together look like the body of a private key."""
     body = "".join(text[s:e] for s, e in parts)
@@ -186,25 +213,49 @@ def literal(value: str, quoted: bool, key_words_data: bool = False) -> bool:
     return not CODE.search(v) and bool(BARE_OK.search(v))
 
 
-def key_path(lines: list[str], at: int, key: str, path: str) -> str:
-    """The key with its parents: sections above it (TOML, INI) or less indented keys (YAML)."""
-    line = lines[at]
-    indent = len(line) - len(line.lstrip())
-    parents: list[str] = []
-    if re.search(r"\.(?:toml|ini|cfg|conf)$", path):
-        for above in range(at - 1, -1, -1):
-            if m := re.match(r"\s*\[+([^\]]+)\]+", lines[above]):
-                parents = [m[1]]
-                break
-    elif indent:
-        for above in range(at - 1, -1, -1):
-            m = re.match(r"(\s*)(?:- )?[\"']?([\w.\-]+)[\"']?\s*[:=]\s*(?:[{\[|>]|$)", lines[above])
-            if m and len(m[1]) < indent:
-                parents.insert(0, m[2])
-                indent = len(m[1])
-                if not indent:
-                    break
-    return ".".join([*parents, key])
+def path_words(key: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", key)]
+
+
+def credential_at(path: tuple[str, ...], value: str, quoted: bool) -> bool:
+    """Whether the value at a key path is a credential: by the path's words first, then by its shape."""
+    names = list(path)
+    while len(names) > 1 and (names[-1].lower() in PLAIN_KEYS or names[-1].isdigit()):
+        names.pop()
+    if not names:
+        return False
+    if sensitive(names[-1]):
+        words = path_words(names[-1])
+        if re.fullmatch(r"\d{6,}", value) and words and words[-1] in PASSWORDS and len(set(value)) > 2:
+            return True
+        return literal(value, quoted)
+    held = len(names) > 1 and names[-2].lower() in HOLDERS and len(names) == len(path)
+    words = path_words(names[-1])
+    if held and words and words[-1] not in HARMLESS and words[-1] not in ("username", "user", "login", "email", "account", "external"):
+        return len(value) >= 8 and all(re.search(c, value) for c in ("[A-Za-z]", "[0-9]")) and "." not in value and " " not in value and "/" not in value and literal(value, quoted)
+    return False
+
+
+def parsed(text: str, path: str) -> list[tuple[keypaths.Value, bool]] | None:
+    """The values of a text in a configuration format, each with whether it is a credential."""
+    form = keypaths.format_of(text, path)
+    if form is None:
+        return None
+    sealed = form == "yaml" and bool(re.search(r"(?m)^kind:[ \t]*[\"']?Secret\b", text))
+    out = []
+    for v in keypaths.values(text, form):
+        if not v.path:
+            continue
+        parts = [text[s:e] for s, e in v.spans]
+        whole = ("" if not any(" " in p for p in parts) else " ").join(parts)
+        if "-----BEGIN" in parts[0]:
+            out.append((v, False))
+        elif sealed and len(v.path) > 1 and v.path[-2] in ("data", "stringData"):
+            coded = re.fullmatch(r"[A-Za-z0-9+/]{8,}={0,2}", whole) and len(whole) % 4 == 0 and not PLACEHOLDER.match(whole)
+            out.append((v, bool(coded) or credential_at(v.path, whole, v.quoted)))
+        else:
+            out.append((v, credential_at(v.path, whole, v.quoted)))
+    return out
 
 
 def _value(m: re.Match) -> tuple[int, int, bool] | None:
@@ -213,6 +264,8 @@ def _value(m: re.Match) -> tuple[int, int, bool] | None:
         return None
     start, end = m.span("val")
     text = m["val"]
+    if text in ("'", '"'):  # a text that does not end on its line
+        return start + 1, end, False
     lead = re.match(r"\(?\s*[bruf]{0,2}(?=[\"'])", text)
     if lead and text[lead.end():]:
         return start + lead.end() + 1, end - 1, True
@@ -228,14 +281,17 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
         return []
     starts = line_starts(text)
     config = bool(CONFIG_SUFFIX.search(path))
-    lines: list[str] | None = None
+    known = parsed(text, path)
+    decided = {v.spans[0][0] for v, _ in known} if known else set()  # where values begin that their paths decide on
+    parents: list[tuple[str, ...]] | None = None
     found: list[tuple[int, int, int, str, str]] = []
     taken_until = -1
-    blocks: list[tuple[int, int]] = []  # body lines of private keys so far, in order
+    taken: list[tuple[int, int]] = []  # spans so far, in order and apart
 
     def add(no: int, start: int, end: int, rule: str, key: str = "") -> None:
-        at = bisect.bisect_left(blocks, (end, 0)) - 1
-        if end > start and not any(s < end and start < e for _, s, e, _, _ in found[-60:]) and not (at >= 0 and start < blocks[at][1]):
+        at = bisect.bisect_left(taken, (end, 0))
+        if end > start and not (at and start < taken[at - 1][1]):
+            taken.insert(at, (start, end))
             found.append((no, start, end, rule, key))
 
     for no in todo:
@@ -261,7 +317,6 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
             if in_key(text, parts):
                 for n, (s, e) in enumerate(parts):  # lines of other things in between are read on their own
                     add(no, s, e, "continued" if n else "private-key")
-                blocks += parts
                 if end <= stop:
                     continue
         if m := HALVES.search(line):
@@ -269,9 +324,9 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
             if literal(whole, True):
                 add(no, start + m.start(1), start + m.end(1), "split-literal")
                 continue
-        for m in URL.finditer(line):
-            if literal(m[1], True) and "*" not in m[1]:
-                add(no, start + m.start(1), start + m.end(1), "url-password")
+        for s, e in url_passwords(line) if "@" in line and "://" in line else ():
+            if literal(line[s:e], True) and "*" not in line[s:e]:
+                add(no, start + s, start + e, "url-password")
         for m in AUTH.finditer(line):
             if literal(m[1], True):
                 add(no, start + m.start(1), start + m.end(1), "authorization")
@@ -296,7 +351,7 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
                 if pattern is ASSIGN:
                     place = _value(m)
                     if place is None:
-                        if config and sensitive(key) and no + 1 < len(starts):
+                        if config and not known and sensitive(key) and no + 1 < len(starts):
                             after = text[starts[no + 1]:starts[no + 2] - 1 if no + 2 < len(starts) else len(text)]
                             if (v := re.match(r"\s+([\"']?)(\S+)\1\s*$", after)) and not re.search(r"[:=]\s*\S|-----", after) and literal(v[2], bool(v[1])):
                                 s = starts[no + 1] + v.start(2)
@@ -307,6 +362,9 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
                     s, e, quoted = *m.span("val"), True
                 value = line[s:e]
                 if not quoted:
+                    if not in_data and not sensitive(key):
+                        continue
+                    value = UNQUOTED.match(line, s)[0] if pattern is ASSIGN else value
                     value = value.rstrip("\"'`,;)")
                     e = s + len(value)
                 if quoted:
@@ -316,10 +374,12 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
                     continue
                 if not (quoted or config or comment or "=" in m[0] and re.match(r"\s*(?:export|env|set|arg)\s", line, re.I) or not CODE.search(line) and not line.rstrip().endswith((";", "{", ","))):
                     continue
+                if start + s in decided:
+                    continue
                 if sensitive(key) and literal(value, quoted):
-                    if lines is None:
-                        lines = text.split("\n")
-                    add(no, start + s, start + e, "assignment", key_path(lines, no, key, path))
+                    if parents is None:
+                        parents = keypaths.indented_parents(text)
+                    add(no, start + s, start + e, "assignment", ".".join((*parents[no], key)))
                     at = max(at, e)
                 elif quoted and SHAPE_START.match(value) and line.rstrip().endswith(("+", "\\", ".")):
                     add(no, start + s, start + e, "split-literal", key)
@@ -330,6 +390,10 @@ def scan_text(text: str, path: str = "") -> list[tuple[int, int, int, str, str]]
             if line.rstrip().endswith(("+", "\\", ".", "&", "(")) or line.rstrip()[-1:] in "\"'":
                 found.append((f[0], m.start(1), joined, "continued", f[4]))
                 taken_until = joined
+    for v, yes in known or ():
+        if yes:
+            for n, (s, e) in enumerate(v.spans):
+                add(bisect.bisect_right(starts, s) - 1, s, e, "continued" if n else "assignment", ".".join(v.path))
     return sorted(found, key=lambda f: f[1])
 
 
@@ -337,27 +401,44 @@ def scan_bytes(raw: bytes | None, path: str = "") -> list[tuple[int, int, int, s
     """``scan_text`` over bytes, with offsets in bytes."""
     if not raw:
         return []
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        text = raw.decode("utf-16", "replace")
-        codec = "utf-16-le" if raw[:2] == b"\xff\xfe" else "utf-16-be"
-        at = lambda i: 2 + len(text[:i].encode(codec, "surrogatepass"))
-        return [(n, at(s), at(e), rule, key) for n, s, e, rule, key in scan_text(text, path)]
-    if b"\0" in raw[:8192]:
+    wide = wide_codec(raw)
+    if wide:
+        head = 2 if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else 0
+        text = raw[head:].decode(wide, "replace")
+        out, at, place = [], 0, head  # bytes are counted from span to span
+        for n, s, e, rule, key in scan_text(text, path):
+            first = place + len(text[at:s].encode(wide, "surrogatepass"))
+            at, place = e, first + len(text[s:e].encode(wide, "surrogatepass"))
+            out.append((n, first, place, rule, key))
+        return out
+    if raw.count(0) * 100 > len(raw):
         return []
     return scan_text(raw.decode("latin-1"), path)
 
 
+def wide_codec(raw: bytes) -> str | None:
+    """The codec of a text in UTF-16, told by its byte order mark or by zero bytes at every other place."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if raw[:2] == b"\xff\xfe" else "utf-16-be"
+    half = len(raw) // 2
+    if half > 3 and raw.count(0) * 10 > 4 * half:
+        low, high = raw[1::2].count(0), raw[::2].count(0)
+        if max(low, high) * 10 > 7 * half and min(low, high) * 50 < half:
+            return "utf-16-le" if low > high else "utf-16-be"
+    return None
+
+
 def redact_bytes(raw: bytes | None, path: str = "") -> tuple[bytes | None, int]:
     """``raw`` with every credential blanked, and how many there were."""
     spans = scan_bytes(raw, path)
     out, at = [], 0
-    wide = bool(raw) and raw[:2] in (b"\xff\xfe", b"\xfe\xff")
+    wide = wide_codec(raw) if raw else None
     for _, start, end, rule, _ in spans:
         mark = "REDACTED"
         if rule == "private-key":  # keep its lines, so that line numbers stay
-            blank = b"".join(x if x[:1] == b"\\" else re.sub(rb"[A-Za-z0-9+/=]{8,}", b"REDACTED", x) for x in re.split(rb"(\\[nr])", raw[start:end])) if not wide else mark.encode("utf-16-le")
+            blank = b"".join(x if x[:1] == b"\\" else re.sub(rb"[A-Za-z0-9+/=]{8,}", b"REDACTED", x) for x in re.split(rb"(\\[nr])", raw[start:end])) if not wide else mark.encode(wide)
         elif wide:
-            blank = mark.encode("utf-16-le" if raw[:2] == b"\xff\xfe" else "utf-16-be")
+            blank = mark.encode(wide)
         else:
             blank = mark.encode()
         out += [raw[at:start], blank]
