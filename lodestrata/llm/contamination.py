@@ -10,12 +10,15 @@ parameters: a stretch whose words agree is ``verbatim``; one that agrees only as
 a template, each slot value always replaced by the same other one, is
 ``reparameterised``.
 
-The items' windows go to all tasks while their number is checked to be within
-``broadcast_windows``; beyond it documents and items meet in a shuffled hash
-join, where windows are deduplicated per document first. The documents are read
-once and never shuffled in the first case.
-
-Defined results: null and empty texts or prompts match nothing; an item without
+Items are a stated query set. While they hold at most ``broadcast_windows``
+words their windows go to all tasks and the documents are read once, without a
+shuffle. More items are dealt into blocks of that size: a shuffled hash join of
+windows, each counted once per document and once per block, names the documents
+that share a window with a block, and only those are compared with it. No pair
+of document and item is ever made before it is known to match, and no text is
+shuffled where the documents named are few enough to be broadcast.
+
+Defined results: null and empty texts or prompts match nothing, nor do rows without an id; an item without
 an instruction paragraph is a passage as a whole; a passage shorter than
 ``least`` words cannot be found; each doc_id with the same text gets its rows;
 several stretches of one item in one document are one row, with the longest.
@@ -26,15 +29,18 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import cut, small
+
 WINDOW = 7  # canonical words in a joined window
 LEAST = 25  # words of a passage that make a leak
 SLACK = 2  # changes allowed ..
@@ -42,6 +48,7 @@ SPAN = 10  # .. among so many parts
 AGREE = 0.84  # share of a quote's parts that agree
 JUMP = 4  # parts that one change may take on either side
 SKIPS = sorted(((i, j) for i in range(JUMP + 1) for j in range(JUMP + 1) if i or j), key=lambda s: (max(s), sum(s), s[0] != s[1]))
+PROMISING = 12  # words that must agree as a template before the words themselves are compared
 BROADCAST_WINDOWS = 1_000_000
 
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
@@ -92,6 +99,7 @@ class Words:
         self.parts: list[str] = []
         self.of_token: list[int] = []
         self.token_of: list[int] = []
+        self._back: dict[str, list[str]] = {}
         for form, parts in map(token_forms, text.split()):
             if parts:
                 self.of_token.append(len(self.parts))
@@ -100,6 +108,13 @@ class Words:
                 self.parts.extend(parts)
 
 
+    def back(self, name: str) -> list[str]:
+        """``parts`` or ``canonical`` from behind, made once."""
+        if name not in self._back:
+            self._back[name] = getattr(self, name)[::-1]
+        return self._back[name]
+
+
 @lru_cache(maxsize=200_000)
 def hash_of(word: str) -> int:
     import xxhash
@@ -120,38 +135,43 @@ def window_hashes(canonical: list[str], size: int = WINDOW) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _extend(p: list[str], d: list[str], a: int, b: int, step: int, equal: list[tuple[int, int]]) -> None:
-    """Adds the agreeing places from (a, b) on in one direction to ``equal``."""
+def _extend(p: list, d: list, a: int, b: int) -> list[tuple[int, int, int]]:
+    """Runs (place in p, place in d, length) that agree from (a, b) on."""
     end_p, end_d = len(p), len(d)
-    at, changes = 0, []
-    while 0 <= a < end_p and 0 <= b < end_d:
+    at, changes, runs = 0, [], []
+    while a < end_p and b < end_d:
         if p[a] == d[b]:
-            equal.append((a, b))
-            a, b, at = a + step, b + step, at + 1
+            x, y = a + 1, b + 1
+            while x < end_p and y < end_d and p[x] == d[y]:
+                x, y = x + 1, y + 1
+            runs.append((a, b, x - a))
+            at += x - a
+            a, b = x, y
             continue
         changes = [c for c in changes if at - c < SPAN]
-        if len(changes) >= SLACK:
+        if len(changes) >= SLACK or set(p[a:a + JUMP + 1]).isdisjoint(d[b:b + JUMP + 1]):
             break
         for skip_p, skip_d in SKIPS:
-            x, y = a + skip_p * step, b + skip_d * step
-            if 0 <= x < end_p and 0 <= y < end_d and p[x] == d[y]:
-                x2, y2 = x + step, y + step
-                x3, y3 = x2 + step, y2 + step
-                if (not (0 <= x2 < end_p and 0 <= y2 < end_d) or p[x2] == d[y2]) and (max(skip_p, skip_d) <= 2 or not (0 <= x3 < end_p and 0 <= y3 < end_d) or p[x3] == d[y3]):
+            x, y = a + skip_p, b + skip_d
+            if x < end_p and y < end_d and p[x] == d[y]:
+                if (x + 1 >= end_p or y + 1 >= end_d or p[x + 1] == d[y + 1]) and (max(skip_p, skip_d) <= 2 or x + 2 >= end_p or y + 2 >= end_d or p[x + 2] == d[y + 2]):
                     break
         else:
             break
         changes.append(at)
         a, b, at = x, y, at + 1
+    return runs
+
+
+def stretch(p: list, d: list, back_p: list, back_d: list, a: int, b: int) -> list[tuple[int, int, int]]:
+    """The agreeing runs around (a, b), in order; ``back_*`` are the same lists from behind."""
+    n, m = len(p), len(d)
+    left = [(n - x - k, m - y - k, k) for x, y, k in _extend(back_p, back_d, n - a, m - b)]
+    return left[::-1] + _extend(p, d, a, b)
 
 
-def stretch(p: list[str], d: list[str], a: int, b: int) -> list[tuple[int, int]]:
-    """The agreeing places around (a, b), in order."""
-    left: list[tuple[int, int]] = []
-    _extend(p, d, a - 1, b - 1, -1, left)
-    right: list[tuple[int, int]] = []
-    _extend(p, d, a, b, 1, right)
-    return left[::-1] + right
+def places_of(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    return [(a + i, b + i) for a, b, k in runs for i in range(k)]
 
 
 def trimmed(equal: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -198,8 +218,9 @@ class Items:
     """The items' words and windows, as every task holds them."""
 
     def __init__(self, prompts: list[tuple[int, str]]):
-        self.words = {i: Words(passage_of(prompt)) for i, prompt in prompts}
-        pairs = sorted((h, i, k) for i, w in self.words.items() for k, h in enumerate(window_hashes(w.canonical).tolist()))
+        self.ids = [i for i, _ in prompts]
+        self.words = [Words(passage_of(prompt)) for _, prompt in prompts]
+        pairs = sorted((h, i, k) for i, w in enumerate(self.words) for k, h in enumerate(window_hashes(w.canonical).tolist()))
         self.hashes = np.array(sorted({h for h, _, _ in pairs}), np.int64)
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for h, i, k in pairs:
@@ -213,16 +234,22 @@ class Items:
         h = window_hashes(d.canonical)
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
+        seeds = [(b, item, a) for b in np.flatnonzero(self.hashes[at] == h).tolist() for item, a in self.places[int(h[b])]]
+        if not seeds:
+            return []
         best: dict[int, tuple] = {}
+        shaped: dict[tuple[int, int], tuple[int, int]] = {}  # until where a diagonal is aligned as a template, and over how many words
         quoted: dict[tuple[int, int], int] = {}
-        shaped: dict[tuple[int, int], int] = {}
-        for b in np.flatnonzero(self.hashes[at] == h).tolist():
-            for item, a in self.places[int(h[b])]:
-                p = self.words[item]
-                row = self._quote(p, d, item, a, b, quoted, least) or self._template(p, d, item, a, b, shaped, least)
-                if row and (item not in best or row > best[item]):
-                    best[item] = row
-        return [(r[2], r[3], r[1], r[4], r[5], r[6]) for r in best.values()]
+        for b, item, a in seeds:
+            p, row = self.words[item], None
+            end, span = shaped.get((item, b - a), (-1, 0))
+            if end < b:
+                span, row = self._template(p, d, item, a, b, shaped, least)
+            if span >= PROMISING and quoted.get((item, b - a), -1) < b:
+                row = self._quote(p, d, item, a, b, quoted, least) or row
+            if row and (item not in best or row > best[item]):
+                best[item] = row
+        return [(self.ids[r[2]], r[3], r[1], r[4], r[5], r[6]) for r in best.values()]
 
     @staticmethod
     def _quote(p: Words, d: Words, item: int, a: int, b: int, done: dict[tuple[int, int], int], least: int):
@@ -233,29 +260,29 @@ class Items:
                 break
         else:
             return None
-        if done.get((item, y - x), -1) >= y:
-            return None
-        equal = stretch(p.parts, d.parts, x, y)
-        for shift in (y - x, equal[-1][1] - equal[-1][0]):
-            done[item, shift] = max(done.get((item, shift), -1), equal[-1][1])
-        if p.token_of[equal[-1][0]] - p.token_of[equal[0][0]] + 1 < least:
+        runs = stretch(p.parts, d.parts, p.back("parts"), d.back("parts"), x, y)
+        first, last = runs[0][0], runs[-1][0] + runs[-1][2] - 1
+        end = runs[-1][1] + runs[-1][2] - 1
+        for shift in {b - a, d.token_of[end] - p.token_of[last]}:
+            done[item, shift] = max(done.get((item, shift), -1), d.token_of[end])
+        if p.token_of[last] - p.token_of[first] + 1 < least:
             return None
-        equal = trimmed(equal)
+        equal = trimmed(places_of(runs))
         n = p.token_of[equal[-1][0]] - p.token_of[equal[0][0]] + 1
         return (1, n, item, "verbatim", len(equal), d.token_of[equal[0][1]], p.token_of[equal[0][0]]) if n >= least else None
 
     @staticmethod
-    def _template(p: Words, d: Words, item: int, a: int, b: int, done: dict[tuple[int, int], int], least: int):
-        """A stretch that agrees in canonical words, its slots replaced consistently."""
-        if done.get((item, b - a), -1) >= b:
-            return None
-        equal = stretch(p.canonical, d.canonical, a, b)
-        (p0, d0), (p1, d1) = equal[0], equal[-1]
-        for shift in (b - a, d1 - p1):
-            done[item, shift] = max(done.get((item, shift), -1), d1)
-        if p1 - p0 + 1 < least or not consistent(p, d, (p0, p1, d0, d1)):
-            return None
-        return (0, p1 - p0 + 1, item, "reparameterised", len(equal), d0, p0)
+    def _template(p: Words, d: Words, item: int, a: int, b: int, shaped: dict[tuple[int, int], tuple[int, int]], least: int):
+        """How many words agree around the joined window in canonical form, and the match if its slots are replaced consistently."""
+        runs = stretch(p.canonical, d.canonical, p.back("canonical"), d.back("canonical"), a, b)
+        (p0, d0, _), (x, y, k) = runs[0], runs[-1]
+        p1, d1 = x + k - 1, y + k - 1
+        span = p1 - p0 + 1
+        for shift in {b - a, d1 - p1}:
+            shaped[item, shift] = max(shaped.get((item, shift), (-1, 0)), (d1, span))
+        if span < least or not consistent(p, d, (p0, p1, d0, d1)):
+            return span, None
+        return span, (0, span, item, "reparameterised", sum(n for _, _, n in runs), d0, p0)
 
 
 def leaks(
@@ -263,23 +290,37 @@ def leaks(
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt",
 ) -> DataFrame:
     """One row per document and item whose passage it holds in part or whole."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
     items = items.select(F.col(item_id).alias("item_id"), F.col(prompt).alias("prompt")).where("prompt is not null and item_id is not null")
     size = items.agg(F.sum(F.size(F.split("prompt", r"\s+"))).alias("n")).first().n or 0
     if size <= broadcast_windows:
-        held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.prompt) for r in items.collect()])
-        return docs.mapInPandas(_against_all(held, least), MATCHES)
-    return _joined(docs, items, least)
+        return _compared(docs, items, least)
+    return _in_blocks(docs, items, least, -(-size // max(1, broadcast_windows)))
+
 
+def _compared(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """Documents against items that were counted to be few enough for a task."""
+    held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.prompt) for r in items.collect()])
+    key = uuid.uuid4().hex
 
-def _against_all(held, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Items(held.value)
+        known = _items_of(key, held)
         for batch in batches:
             rows = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"]) for m in known.matches(t, least)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCHES.split(", ")])
 
-    return run
+    return docs.mapInPandas(run, MATCHES)
+
+
+_HELD: dict[str, Items] = {}
+
+
+def _items_of(key: str, held) -> Items:
+    """The index of a broadcast, built once per worker process; the last one is kept."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Items(held.value)
+    return _HELD[key]
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,32 +332,21 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def _joined(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    """The same by a shuffled join, for items too many to hold in a task.
-
-    Pairs need several common windows, counted before any text is fetched, so
-    that a hot window costs counts, not texts.
-    """
-    passages = items.mapInPandas(
-        lambda batches: (pd.DataFrame({"key": b["item_id"], "text": ["\n\n" + passage_of(p) for p in b["prompt"]]}) for b in batches),
+def _in_blocks(docs: DataFrame, items: DataFrame, least: int, blocks: int) -> DataFrame:
+    """The same for items too many to hold in a task, block by block."""
+    dealt = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")))
+    passages = dealt.mapInPandas(
+        lambda batches: (pd.DataFrame({"key": b["block"], "text": ["\n\n" + passage_of(p) for p in b["prompt"]]}) for b in batches),
         "key bigint, text string",
     )
-    of_items = passages.mapInPandas(_windows, "key bigint, h bigint").withColumnRenamed("key", "item_id")
+    of_blocks = passages.mapInPandas(_windows, "key bigint, h bigint").select(F.col("key").alias("block"), "h").distinct()
     of_docs = docs.select(F.col("doc_id").alias("key"), "text").mapInPandas(_windows, "key bigint, h bigint").withColumnRenamed("key", "doc_id")
-    need = max(1, (least - SLACK) // (SLACK + 1) - WINDOW + 1)
-    pairs = of_docs.join(of_items, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where(F.col("n") >= need)
-    full = pairs.join(docs, "doc_id").join(passages.withColumnRenamed("key", "item_id").withColumnRenamed("text", "passage"), "item_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for d, i, t, p in zip(batch["doc_id"], batch["item_id"], batch["text"], batch["passage"]):
-                rows += [(d, *m) for m in Items([(i, p)]).matches(t, least)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCHES.split(", ")])
-
-    return full.select("doc_id", "item_id", "text", "passage").mapInPandas(run, MATCHES).groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("kind", "n_words", "n_equal", "doc_word", "item_word"), F.struct("kind", "n_words")).alias("m")
-    ).select("doc_id", "item_id", "m.*")
+    named = cut(of_docs.join(of_blocks, "h").select("doc_id", "block").distinct())
+    parts = []
+    for block in range(blocks):
+        of_block = small(named.where(F.col("block") == block).select("doc_id"))
+        parts.append(_compared(docs.join(of_block, "doc_id", "left_semi"), dealt.where(F.col("block") == block).drop("block"), least))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
