@@ -34,7 +34,7 @@ def normalize_path(value: Column | str, repository: str = "") -> Column:
     path = F.regexp_replace(path, "^/(?=.:)", "")
     if repository:
         prefix = repository.rstrip("/") + "/"
-        path = F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
+        path = F.when(F.startswith(path, F.lit(prefix)), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
     path = F.regexp_replace(path, "^(?:\\./)+", "")
     return F.when(path == "", F.lit("unknown")).otherwise(path)
 

@@ -1,9 +1,9 @@
 """Running budgets with honest partiality: what was left out is told.
 
 Prefix budgets are running sums per group, spread over tasks by range. Greedy
-budgets depend on every earlier choice; they take rounds of running sums, each
-of which settles all groups up to their next rejection and drops what can no
-longer fit.
+budgets depend on every earlier choice: small groups are folded in a task, large
+ones take rounds of running sums, each of which settles all groups up to their
+next rejection and drops what can no longer fit.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import cut
+from lodestrata.lineage import cut, small
 from lodestrata.operators.ordered import _same, prefix_sum, rank
 
 
@@ -23,17 +23,56 @@ def prefix_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, l
     return prefix_sum(rows, by, order, cost).withColumn("accepted", F.col("running") <= limit)
 
 
-def greedy_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, limit: int, most_rounds: int = 200) -> DataFrame:
+FOLD_ROWS = 200_000  # a group of so many rows is folded in one task, beyond it budgets take rounds
+
+
+def greedy_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, limit: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Rows with ``accepted``: in order, each that still fits; a rejected cost is not consumed, later cheaper rows may fit.
 
-    In a round every group accepts its pending rows up to the first that does not
-    fit; that one is rejected, as are all later ones dearer than what remains. A
-    group needs a round per such rejection, which its budget bounds.
+    Groups counted to have at most ``fold_rows`` rows are folded each in a task,
+    keys and costs only. Larger ones take rounds of running sums: a round accepts
+    the pending rows up to the first that does not fit; that one is rejected, as
+    are all later ones dearer than what remains. What then pends fits, so each
+    round but the last accepts rows, and the budget bounds their number. A missing
+    cost is 0.
     """
     keys = [*by, *order]
-    pending = rows.select(*keys, F.coalesce(F.col(cost).cast("bigint"), F.lit(0)).alias("__cost")).where(F.col("__cost") <= limit).withColumn("__left", F.lit(limit).cast("bigint"))
-    taken = []
-    for _ in range(most_rounds):
+    narrow = rows.select(*keys, F.coalesce(F.col(cost).cast("bigint"), F.lit(0)).alias("__cost")).where(F.col("__cost") <= limit)
+    large = cut(narrow.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > fold_rows).select(*[F.col(b).alias(f"{b}__k") for b in by]))
+    few = narrow if not large.head(1) else narrow.join(small(large), _same(narrow, large, by), "left_anti")
+    taken = [_folded(few, by, order, limit)]
+    if large.head(1):
+        taken += _in_rounds(narrow.join(small(large), _same(narrow, large, by), "left_semi"), by, order, limit)
+    accepted = reduce(DataFrame.unionByName, taken).select(*[F.col(k).alias(f"{k}__k") for k in keys], F.lit(True).alias("__yes"))
+    return rows.join(accepted, _same(rows, accepted, keys), "left").select(*rows.columns, F.coalesce("__yes", F.lit(False)).alias("accepted"))
+
+
+def _folded(few: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """Keys of accepted rows of groups that fit a task."""
+    numbered = few.withColumn("__row", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__row", "__cost"))).alias("__rows"))
+
+    @F.pandas_udf("array<boolean>")
+    def fold(costs: pd.Series) -> pd.Series:
+        def one(group):
+            used, out = 0, []
+            for c in group:
+                fits = used + c <= limit
+                out.append(fits)
+                used += c if fits else 0
+            return out
+
+        return costs.map(one)
+
+    marked = numbered.withColumn("__fits", fold(F.col("__rows")["__cost"]))
+    each = marked.select(*by, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__fits").alias("f"))).alias("x")).where("x.f")
+    return each.select(*by, *[F.col(f"x.r.__row.c{i}").alias(c) for i, c in enumerate(order)])
+
+
+def _in_rounds(pending: DataFrame, by: list[str], order: list[str], limit: int) -> list[DataFrame]:
+    """Keys of accepted rows of groups of any size."""
+    keys, taken = [*by, *order], []
+    pending = pending.withColumn("__left", F.lit(limit).cast("bigint"))
+    while True:
         run = cut(prefix_sum(pending, by, order, "__cost", "__run"))
         taken.append(run.where("__run <= __left").select(*keys))
         state = run.groupBy(*by).agg(
@@ -43,11 +82,7 @@ def greedy_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, l
         later = run.join(state, _same(run, state, by)).where((F.struct(*order) > F.col("__first")) & (F.col("__cost") <= F.col("__rest")))
         pending = cut(later.select(*keys, "__cost", F.col("__rest").alias("__left")))
         if not pending.head(1):
-            break
-    else:
-        raise RuntimeError("the budget was not settled within the rounds allowed")
-    accepted = reduce(DataFrame.unionByName, taken).select(*[F.col(k).alias(f"{k}__k") for k in keys], F.lit(True).alias("__yes"))
-    return rows.join(accepted, _same(rows, accepted, keys), "left").select(*rows.columns, F.coalesce("__yes", F.lit(False)).alias("accepted"))
+            return taken
 
 
 def high_water(rows: DataFrame, by: list[str], observed: str, limit: int) -> DataFrame:
@@ -92,12 +127,3 @@ def presentation_budget(rows: DataFrame, by: list[str], limit: int) -> DataFrame
 def cascade(children: DataFrame, kept_parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent was kept, or that have none."""
     return children.where(F.col(key).isNull()).unionByName(children.join(kept_parents.select(key).distinct(), key, "left_semi").select(*children.columns))
-
-
-def greedy_budget_exact(rows: pd.DataFrame, order: list[str], cost: str, limit: int) -> list[bool]:
-    """The same as ``greedy_budget`` for one group on the driver; what tests compare with."""
-    used, out = 0, []
-    for c in rows.sort_values(order)[cost]:
-        out.append(used + c <= limit)
-        used += c if out[-1] else 0
-    return out

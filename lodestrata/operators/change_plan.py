@@ -70,7 +70,7 @@ def name_status_numstat(name_status: DataFrame, numstat: DataFrame) -> DataFrame
 def content_risk_files(lines: DataFrame) -> DataFrame:
     """(split_id, current_file) of diffs with a risky added or removed line; ``lines`` carry their current file."""
     changed = (F.col("line").startswith("+") | F.col("line").startswith("-")) & ~F.col("line").startswith("+++") & ~F.col("line").startswith("---")
-    risky = matches_any(F.substring("line", 2, 1 << 20), CONTENT_RISK)
+    risky = matches_any(F.expr("substring(line, 2)"), CONTENT_RISK)
     return lines.where(changed & risky).select("split_id", "current_file").distinct()
 
 
@@ -171,7 +171,7 @@ def split_suggestions(units: DataFrame, groups: DataFrame, hunks: DataFrame) ->
 
 def dependency_lines(lines: DataFrame) -> DataFrame:
     """Added lines that import, export, declare or define schema, with their kind."""
-    body = F.substring("line", 2, 1 << 20)
+    body = F.expr("substring(line, 2)")
     kind = (
         F.when(body.rlike(r"^\s*(import|from|use|require|include)\b"), "import")
         .when(body.rlike(r"^\s*(export|pub)\b"), "export")

@@ -33,7 +33,7 @@ def numstat(lines: DataFrame) -> DataFrame:
 def current_files(lines: DataFrame) -> DataFrame:
     """Lines with the file of the last ``+++ b/`` header above them, carried forward; the diff's own path before any."""
     order = Window.partitionBy("split_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 20))
+    header = F.when(F.col("line").startswith("+++ b/"), F.expr("substring(line, 7)"))
     return lines.withColumn("current_file", F.coalesce(F.last(header, ignorenulls=True).over(order), "path"))
 
 

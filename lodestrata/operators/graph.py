@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ids
-from lodestrata.lineage import cut, small
+from lodestrata.lineage import cut, rows_at_most, small
+from lodestrata.operators.ordered import last_before, prefix_sum
 
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, directions: tuple[str, ...] = ("incoming", "outgoing"), kinds: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(edges with their least level, nodes with their depth) within ``depth`` steps of the roots.
@@ -43,25 +45,98 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, directions: tuple[str, .
     return union.groupBy(*edges.columns).agg(F.min("level").alias("level")), nodes
 
 
-def bounded_bfs(edges: DataFrame, roots: DataFrame, max_rows: int, max_edges: int) -> tuple[DataFrame, DataFrame]:
-    """One step with budgets: (edges kept in order, limitation codes).
+def bounded_bfs(
+    edges: DataFrame, roots: DataFrame, depth: int, max_rows: int, max_nodes: int, max_edges: int, max_bytes: int, most_per_lookup: int | None = None, directions: tuple[str, ...] = ("outgoing", "incoming"),
+) -> tuple[DataFrame, DataFrame]:
+    """A traversal of several levels within budgets: (edges kept with their level, limitation codes).
 
-    A lookup (node, direction) reads at most ``max_rows`` edges in (kind, edge_id)
-    order; of those at most ``max_edges`` are kept in (node, direction, edge_id)
-    order. What was cut is told by a limitation, never silently.
+    Lookups (node, direction) are taken by node and in the order of ``directions``; one reads edges in (kind, edge_id)
+    order. The lookup that uses up ``max_rows``, or returns ``most_per_lookup`` edges, ends the traversal. Edges read
+    lead to at most ``max_nodes`` nodes in all, roots included, and at most ``max_edges`` of them are kept, each only
+    while it fits into ``max_bytes`` (of its JSON form); both in the order of level, node, direction and edge_id. Each
+    budget that left something out is told by its code, as is a frontier left at the last level.
+
+    Lookups are counted before edges are fetched, so a hub costs a count; what is read is bounded by ``max_rows``.
     """
-    held = small(roots.select("node").distinct())
-    out = edges.join(held, edges.from_symbol == held.node).select("node", F.lit("outgoing").alias("direction"), "kind", "edge_id")
-    into = edges.join(held, edges.to_symbol == held.node).select("node", F.lit("incoming").alias("direction"), "kind", "edge_id")
-    lookup = Window.partitionBy("node", "direction")
-    read = out.unionByName(into).withColumns({"n": F.row_number().over(lookup.orderBy("kind", "edge_id")), "all": F.count("*").over(lookup)})
-    kept = read.where(F.col("n") <= max_rows)
-    chosen = kept.orderBy("node", "direction", "edge_id").limit(max_edges).select("node", "direction", "kind", "edge_id")
-    totals = read.agg(F.count_if(F.col("n") == F.col("all")).alias("lookups"), F.count_if((F.col("n") == 1) & (F.col("all") > max_rows)).alias("cut_lookups"), F.count_if(F.col("n") <= max_rows).alias("kept"))
-    limits = totals.select(F.explode(F.array_compact(F.array(
-        F.when(F.col("cut_lookups") > 0, F.lit("traversal-row-budget-exhausted")), F.when(F.col("kept") > max_edges, F.lit("traversal-edge-budget-exhausted"))
-    ))).alias("code"))
-    return chosen, limits
+    body = F.octet_length(F.to_json(F.struct(*edges.columns), {"ignoreNullFields": "false"}))
+    start = roots.select("node").where("node is not null").distinct()
+    seen = cut(start.orderBy("node").limit(max_nodes))
+    codes = {"index-node-budget-exhausted"} if not rows_at_most(start, max_nodes) else set()
+    n_seen, rows_read, frontier, read = seen.count(), 0, seen, []
+    for level in range(1, depth + 1):
+        if not frontier.head(1):
+            break
+        held = small(frontier)
+        ends = {"outgoing": ("from_symbol", "to_symbol"), "incoming": ("to_symbol", "from_symbol")}
+        sides = [
+            edges.join(held, edges[ends[d][0]] == held.node).select("node", F.lit(i).alias("turn"), F.col(ends[d][1]).alias("next"), body.alias("bytes"), *[c for c in edges.columns])
+            for i, d in enumerate(directions)
+        ]
+        found = reduce(DataFrame.unionByName, sides)
+        lookups = prefix_sum(found.groupBy("node", "turn").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), ["all"], ["node", "turn"], "n", "upto")
+        room = F.lit(max_rows - rows_read) - (F.col("upto") - F.col("n"))
+        most = F.least(room, F.lit(most_per_lookup if most_per_lookup is not None else max_rows))
+        lookups = cut(lookups.withColumn("most", most).withColumn("by_rows", room <= (most_per_lookup if most_per_lookup is not None else max_rows)))
+        halt = lookups.where("n >= most").orderBy("node", "turn").select("node", "turn", "most", "by_rows").head(1)
+        if halt:
+            h = halt[0]
+            codes.add("index-query-row-budget-exhausted" if h.by_rows else "index-query-row-limit-reached")
+            at = (F.col("node") == h.node) & (F.col("turn") == h.turn)
+            before = (F.col("node") < h.node) | (F.col("node") == h.node) & (F.col("turn") < h.turn)
+            step = found.where(before).unionByName(found.where(at).orderBy("kind", "edge_id").limit(max(0, h.most)))
+        else:
+            step = found
+        step = cut(step.withColumn("level", F.lit(level)))
+        read.append(step)
+        order = F.struct("node", "turn", "edge_id")
+        new = step.where("next is not null").groupBy(F.col("next").alias("node")).agg(F.min(order).alias("first")).join(seen, "node", "left_anti")
+        if not rows_at_most(new, max_nodes - n_seen):
+            codes.add("index-node-budget-exhausted")
+        frontier = cut(new.orderBy("first").limit(max(0, max_nodes - n_seen)).select("node"))
+        seen = cut(seen.unionByName(frontier))
+        n_seen += frontier.count()
+        rows_read += step.count()
+        if halt:
+            break
+    else:
+        if frontier.head(1):
+            codes.add("index-graph-depth-budget-exhausted")
+    spark = edges.sparkSession
+    if not read:
+        return edges.where(F.lit(False)).withColumn("level", F.lit(0)), _codes(spark, codes)
+    whole = reduce(DataFrame.unionByName, read)
+    place = F.struct("level", "node", "turn", "edge_id")
+    once = whole.groupBy("edge_id").agg(F.min(place).alias("place"), F.first("bytes").alias("bytes"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:  # at most max_rows rows
+        pdf = pdf.sort_values(["level", "node", "turn", "edge_id"], kind="stable")
+        kept, used, why = 0, 0, []
+        for size in pdf["bytes"]:
+            if kept >= max_edges:
+                why.append("index-edge-budget-exhausted")
+            elif used + size > max_bytes:
+                why.append("index-output-byte-budget-exhausted")
+            else:
+                kept, used = kept + 1, used + size
+                why.append("")
+        return pdf.assign(why=why)[["edge_id", "level", "why"]]
+
+    judged = cut(once.select("edge_id", "place.level", "place.node", "place.turn", "bytes", F.lit(0).alias("all")).groupBy("all").applyInPandas(fold, "edge_id string, level int, why string"))
+    codes |= {r.why for r in judged.where("why <> ''").select("why").distinct().collect()}
+    columns = whole.select(*edges.columns).dropDuplicates(["edge_id"])
+    return columns.join(judged.where("why = ''").select("edge_id", "level"), "edge_id").select(*edges.columns, "level"), _codes(spark, codes)
+
+
+def _codes(spark, codes: set[str]) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in sorted(codes)], "code string")
+
+
+PLACE = ("path", "kind", "start_line", "end_line")
+
+
+def _placed(edges: DataFrame) -> DataFrame:
+    """Edges with a range, missing where they have none."""
+    return edges.withColumns({c: F.lit(None).cast("int") for c in ("start_line", "end_line") if c not in edges.columns})
 
 
 def overlay(base: DataFrame, removed: DataFrame, replacement: DataFrame) -> DataFrame:
@@ -69,37 +144,42 @@ def overlay(base: DataFrame, removed: DataFrame, replacement: DataFrame) -> Data
 
     Edges that start in a removed symbol go; those that end in one become
     unresolved with low confidence and a new id, unless the change retargets the
-    same place (path, kind) elsewhere; edges of the change come on top.
+    same place (path, kind and range) elsewhere; edges of the change come on top.
+    A missing line of a range is equal to a missing one.
     """
+    base, replacement = _placed(base), _placed(replacement)
     gone = removed.select(F.col("symbol").alias("gone")).distinct()
     kept = base.join(gone, base.from_symbol == gone.gone, "left_anti").join(replacement.select("edge_id"), "edge_id", "left_anti")
     broken = kept.join(gone, kept.to_symbol == gone.gone, "left_semi")
-    retargeted = replacement.where("to_symbol is not null").join(gone, replacement.to_symbol == gone.gone, "left_anti").select("path", "kind").distinct()
-    orphan = broken.join(retargeted, ["path", "kind"], "left_anti")
+    elsewhere = replacement.where("to_symbol is not null").select(*[F.col(c).alias(f"r_{c}") for c in PLACE], F.col("to_symbol").alias("r_to")).distinct()
+    same = broken.to_symbol != elsewhere.r_to
+    for c in PLACE:
+        same = same & broken[c].eqNullSafe(elsewhere[f"r_{c}"])
+    orphan = broken.join(elsewhere, same, "left_anti")
     new_id = ids.prefixed_digest(F.lit("repository-overlay-deleted-target/v1"), "edge_id", "to_symbol")
     unresolved = orphan.select(
-        new_id.alias("edge_id"), "kind", "from_symbol", F.lit(None).cast("string").alias("to_symbol"), F.col("to_symbol").alias("unresolved_target"), "path",
+        new_id.alias("edge_id"), "kind", "from_symbol", F.lit(None).cast("string").alias("to_symbol"), F.col("to_symbol").alias("unresolved_target"), *[c for c in PLACE if c != "kind"],
         F.lit("unresolved").alias("resolution"), F.lit("low").alias("confidence"), F.lit("deleted-target").alias("origin"),
     )
     intact = kept.join(gone, kept.to_symbol == gone.gone, "left_anti")
-    plain = lambda df, origin: df.select("edge_id", "kind", "from_symbol", "to_symbol", F.lit(None).cast("string").alias("unresolved_target"), "path", F.lit("resolved").alias("resolution"), F.lit("high").alias("confidence"), F.lit(origin).alias("origin"))
+    plain = lambda df, origin: df.select("edge_id", "kind", "from_symbol", "to_symbol", F.lit(None).cast("string").alias("unresolved_target"), *[c for c in PLACE if c != "kind"], F.lit("resolved").alias("resolution"), F.lit("high").alias("confidence"), F.lit(origin).alias("origin"))
     return plain(intact, "base").unionByName(unresolved).unionByName(plain(replacement, "overlay"))
 
 
-def reverse_dependents(edges: DataFrame, changed: DataFrame, kinds: tuple[str, ...], most_rounds: int = 30) -> DataFrame:
+def reverse_dependents(edges: DataFrame, changed: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """(symbol, round): symbols that depend on changed ones, directly or through others; a fixpoint over incoming edges."""
     uses = edges.where(F.col("kind").isin(*kinds)).select("from_symbol", "to_symbol")
     known = cut(changed.select("symbol", F.lit(0).alias("round")).distinct())
-    frontier = known.select("symbol")
-    for turn in range(1, most_rounds + 1):
+    frontier, turn = known.select("symbol"), 0
+    while True:  # each round knows at least one more symbol, so it ends
+        turn += 1
         held = small(frontier)
         new = uses.join(held, uses.to_symbol == held.symbol, "left_semi").select(F.col("from_symbol").alias("symbol")).distinct()
         frontier = cut(new.join(known, "symbol", "left_anti"))
         if not frontier.head(1):
             break
         known = known.unionByName(frontier.withColumn("round", F.lit(turn)))
-    else:
-        raise RuntimeError("the closure did not end within the rounds allowed")
+        known = cut(known) if turn % 16 == 0 else known
     return known.where("round > 0")
 
 
@@ -211,32 +291,78 @@ def expand_path(path: str, module: str):
     return F.array_join(absolute, "::")
 
 
-def ordered_imports(imports: DataFrame, most_rounds: int = 40) -> DataFrame:
+def ordered_imports(imports: DataFrame) -> DataFrame:
     """Bindings per repository in the order (path, start_byte, segments): an export shows to later imports only.
 
     ``imports``: repo_id, path, start_byte, segments (``::`` joined), name, exported; unique in their order. Each import
-    is linked to the last earlier export of that name by one window per (repository, name); chains of links are then
-    followed by pointer jumping, so the work is a few joins and no task sees a whole repository.
+    is linked to the last earlier export of that name: rows are spread by range over tasks, the last export before
+    each part is a small table, and a window runs within parts only, so a name that very many imports use meets no
+    single task. Chains of links are then followed by pointer jumping, which halves them in each round.
     """
     order = F.struct("path", "start_byte", "segments", "name")
     rows = cut(imports.withColumn("ord", order))
-    asks = rows.select("repo_id", F.col("segments").alias("key"), "ord", F.lit(0).alias("turn"), F.lit(None).cast(rows.schema["ord"].dataType).alias("export"))
+    kind = rows.schema["ord"].dataType
+    asks = rows.select("repo_id", F.col("segments").alias("key"), "ord", F.lit(0).alias("turn"), F.lit(None).cast(kind).alias("export"))
     tells = rows.where("exported").select("repo_id", F.col("name").alias("key"), "ord", F.lit(1).alias("turn"), F.col("ord").alias("export"))
-    w = Window.partitionBy("repo_id", "key").orderBy("ord", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    linked = asks.unionByName(tells).withColumn("link", F.last("export", ignorenulls=True).over(w)).where("turn = 0").select("repo_id", "ord", "link")
+    linked = last_before(asks.unionByName(tells), ["repo_id", "key"], ["ord", "turn"], "export", "link").where("turn = 0").select("repo_id", "ord", "link")
     state = cut(linked.withColumn("target", F.when(F.col("link").isNull(), F.col("ord.segments"))).withColumn("through_export", F.col("link").isNotNull()))
-    for _ in range(most_rounds):
-        if not state.where("target is null").head(1):
-            break
+    while state.where("target is null").head(1):
         there = state.select(F.col("repo_id").alias("r"), F.col("ord").alias("o"), F.col("link").alias("next"), F.col("target").alias("known"))
-        j = state.join(there, (state.repo_id == there.r) & (state.link == there.o), "left")
+        j = state.join(there, state.repo_id.eqNullSafe(there.r) & (state.link == there.o), "left")
         state = cut(j.select("repo_id", "ord", F.coalesce("next", "link").alias("link"), F.coalesce("target", "known").alias("target"), "through_export"))
     return state.select("repo_id", "ord.path", "ord.start_byte", "ord.name", "target", "through_export")
 
 
 def surviving_edges(base: DataFrame, facts: DataFrame) -> DataFrame:
-    """Base edges that the new facts still hold: same path and kind; definitions and implementations are never kept."""
-    return base.where(~F.col("kind").isin("defines", "implements", "overrides")).join(facts.select("path", "kind").distinct(), ["path", "kind"], "left_semi")
+    """Base edges that the new facts still hold: same path, kind, range and callee; definitions and implementations are never kept.
+
+    ``base`` and ``facts`` have path, kind, start_line, end_line and callee, the name used there.
+    """
+    f = facts.select(*[F.col(c).alias(f"f_{c}") for c in (*PLACE, "callee")]).distinct()
+    same = F.lit(True)
+    for c in (*PLACE, "callee"):
+        same = same & base[c].eqNullSafe(f[f"f_{c}"])
+    return base.where(~F.col("kind").isin("defines", "implements", "overrides")).join(f, same, "left_semi")
+
+
+def call_edges(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """(source, name, kind, candidates, resolution, target): edges of calls whose names were looked up in scope order.
+
+    ``calls``: source, name, scope, is_method. ``names``: scope, name, symbol, tier (0 bindings, 1 local names, 2 globs,
+    3 exports): of a name's candidates in the call's scope those of the least tier count, and hide the others. One
+    candidate resolves and also gives a ``references`` edge to it; several are polymorphic; a method call is never more
+    than polymorphic, as its receiver is not known; a plain call without a candidate is unresolved, a reference without
+    one gives no edge. Candidates are counted per (scope, name) before the join, so a hot name meets one row.
+    """
+    least = names.where("symbol is not null").groupBy("scope", "name", "tier").agg(F.countDistinct("symbol").alias("n"), F.min("symbol").alias("only"))
+    per = least.groupBy("scope", "name").agg(F.min_by(F.struct("n", "only"), "tier").alias("best")).select(F.col("scope").alias("k_scope"), F.col("name").alias("k_name"), "best.n", "best.only")
+    c = calls.select("source", "name", "scope", F.coalesce("is_method", F.lit(False)).alias("is_method")).distinct()
+    j = c.join(per, c.scope.eqNullSafe(per.k_scope) & (c.name == per.k_name), "left")
+    n = F.coalesce("n", F.lit(0))
+    resolution = F.when(n == 0, "unresolved").when((n > 1) | F.col("is_method"), "polymorphic").otherwise("resolved")
+    edges = j.select("source", "name", F.lit("calls").alias("kind"), n.alias("candidates"), resolution.alias("resolution"), F.when(resolution == "resolved", F.col("only")).alias("target"))
+    return edges.unionByName(edges.where("resolution = 'resolved'").withColumn("kind", F.lit("references")))
+
+
+def graph_summaries(edges: DataFrame, changed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, interface_change, callers, callees, reverse_dependents, connected_tests) of changed symbols.
+
+    ``changed``: symbol. ``symbols``: symbol, path, public, is_test. An interface change is a changed public symbol;
+    connected tests are different neighbours by calls, imports or references that lie in test files. Roles are
+    equi-joins on the changed side; neighbours are looked up by one more.
+    """
+    c = changed.select(F.col("symbol").alias("at")).distinct()
+    into = edges.join(c, edges.to_symbol == c["at"]).select("at", F.col("from_symbol").alias("other"), F.when(F.col("kind") == "calls", "caller").when(F.col("kind").isin("imports", "references"), "reverse").alias("role"))
+    out = edges.where("kind = 'calls'").join(c, edges.from_symbol == c["at"]).select("at", F.col("to_symbol").alias("other"), F.lit("callee").alias("role"))
+    near = into.unionByName(out).where("role is not null").distinct()
+    tests = symbols.where("is_test").select(F.col("symbol").alias("other"), F.lit(True).alias("test")).distinct()
+    counted = near.join(tests, "other", "left").groupBy("at").agg(
+        *[F.countDistinct(F.when(F.col("role") == r, F.col("other"))).alias(a) for r, a in (("caller", "callers"), ("callee", "callees"), ("reverse", "reverse_dependents"))],
+        F.countDistinct(F.when(F.col("test"), F.col("other"))).alias("connected_tests"),
+    )
+    public = symbols.groupBy(F.col("symbol").alias("at")).agg(F.bool_or("public").alias("public"))
+    j = c.join(public, "at", "left").join(counted, "at", "left")
+    return j.select(F.col("at").alias("symbol"), F.coalesce("public", F.lit(False)).alias("interface_change"), *[F.coalesce(x, F.lit(0).cast("bigint")).alias(x) for x in ("callers", "callees", "reverse_dependents", "connected_tests")])
 
 
 def nearest_root(added: DataFrame, roots: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from lodestrata.lineage import cut
 from pyspark.sql import types as T
 
 SYMBOL = r"^\s*(pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*(fn|struct|enum|trait|mod|const|static|type|union)\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -93,17 +95,16 @@ def imports(files: DataFrame) -> DataFrame:
     return each.select("file_id", "exported", "i.target", "i.name", "i.is_glob")
 
 
-def module_tree(roots: DataFrame, declarations: DataFrame, depth: int = 16) -> DataFrame:
-    """(module_path, file): modules reached from crate roots by ``mod`` declarations, level by level.
+def module_tree(roots: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(module_path, file): modules reached from crate roots by ``mod`` declarations, level by level to the last.
 
-    ``roots``: crate, file. ``declarations``: file, name, target_file.
+    A file counts at the least depth it is reached at, so declarations in a ring end. ``roots``: crate, file. ``declarations``: file, name, target_file.
     """
-    level = roots.select(F.col("crate").alias("module_path"), "file")
-    out = level
-    for _ in range(depth):
-        d = declarations.select(F.col("file").alias("in_file"), "name", "target_file")
+    level = out = cut(roots.select(F.col("crate").alias("module_path"), "file"))
+    d = declarations.select(F.col("file").alias("in_file"), "name", "target_file")
+    while True:
         level = level.join(d, level.file == d.in_file).select(F.concat_ws("::", "module_path", "name").alias("module_path"), F.col("target_file").alias("file"))
-        level = level.join(out.select("file"), "file", "left_anti").select("module_path", "file")
+        level = cut(level.join(out.select("file"), "file", "left_anti").select("module_path", "file"))
         if not level.head(1):
             break
         out = out.unionByName(level)

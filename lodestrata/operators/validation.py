@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordered import before_in_order
+
 
 def _rule(df: DataFrame, rule: str, ref) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), F.col(ref).cast("string").alias("ref") if isinstance(ref, str) else ref.cast("string").alias("ref"))
@@ -29,9 +31,8 @@ def where(df: DataFrame, test: str, rule: str, ref: str) -> DataFrame:
 
 
 def unsorted(df: DataFrame, by: str, place: str, key: str, rule: str) -> DataFrame:
-    """Groups whose ids do not rise strictly in the order of ``place``."""
-    w = Window.partitionBy(by).orderBy(place)
-    return _rule(df.withColumn("before", F.lag(key).over(w)).where(F.col("before") >= F.col(key)).select(by).distinct(), rule, by)
+    """Groups whose ids do not rise strictly in the order of ``place``; compared within parts of a group and across their edges."""
+    return _rule(before_in_order(df.select(by, place, key), [by], [place], key, "before").where(F.col("before") >= F.col(key)).select(by).distinct(), rule, by)
 
 
 def bad_digest(df: DataFrame, column: str, rule: str, ref: str) -> DataFrame:

@@ -18,7 +18,7 @@ def findings(s, d):
     raw = F.try_element_at(F.create_map(*[F.lit(x) for p in SEVERITIES.items() for x in p]), F.col("kind"))
     base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in BASELINES.items() for x in p]), F.col("resolution")), F.lit("unknown"))
     return f.select(
-        "repo_id", F.col("provider_id").alias("tool"), "rule_id", F.substring("text", 1, 200).alias("message"), "path",
+        "repo_id", F.col("provider_id").alias("tool"), "rule_id", F.col("text").alias("message"), "path",
         F.col("source_range.start_line").alias("start_line"), F.col("source_range.end_line").alias("end_line"), ev.severity(raw).alias("severity"), ev.confidence("confidence").alias("confidence"),
         ev.category("rule_id", "text", "provider_id").alias("category"), base.alias("baseline_state"), (F.col("provenance") != "inferred").alias("completed"), F.col("fact_id").alias("report_id"),
     )
@@ -67,7 +67,7 @@ def oracle_sql():
     cat = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({corpus}, {chr(39)}{n}{chr(39)})' for n in needles)} THEN '{c}'" for c, needles in ev.CATEGORIES.items()) + " ELSE 'unknown' END"
     low = lambda e: f"replace(lower({e}), '_', '-')"
     raw = _case("kind", SEVERITIES, "NULL")
-    find = f"""finding AS (SELECT repo_id, provider_id AS tool, rule_id, substr(text, 1, 200) AS message, path, source_range.start_line AS start_line, source_range.end_line AS end_line,
+    find = f"""finding AS (SELECT repo_id, provider_id AS tool, rule_id, text AS message, path, source_range.start_line AS start_line, source_range.end_line AS end_line,
   {_case(low(raw), ev.SEVERITY_WORDS, "'unknown'")} AS severity, {_case(low('confidence'), ev.CONFIDENCE_WORDS, "'unknown'")} AS confidence, {cat} AS category,
   {_case('resolution', BASELINES, "'unknown'")} AS baseline_state, provenance <> 'inferred' AS completed, fact_id AS report_id FROM normalized_fact)"""
     key = ", ".join(ev.KEY)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ids
+from lodestrata.lineage import cut
 from lodestrata.operators import graph as g
 from lodestrata.plans.relations import table
 
@@ -12,9 +13,16 @@ ROOTS = ("supplier:1", "nation:3", "customer:5", "absent:0")
 CALLS = ("calls", "imports", "references", "exports")
 
 
-def _edge(df, kind, source, target):
+def _range(line):
+    """Where an edge stands in its file: by the number of what it names, so that a file has several at different places."""
+    start = (F.split_part(line, F.lit(":"), F.lit(2)).cast("int") % 50 + 1).cast("int")
+    return [start.alias("start_line"), (start + 1).cast("int").alias("end_line")]
+
+
+def _edge(df, kind, source, target, line=None):
+    line = F.col("to_symbol") if line is None else line
     e = df.select(F.lit(kind).alias("kind"), source.alias("from_symbol"), target.alias("to_symbol")).distinct()
-    return e.select(ids.stable_id("edge/v1", "kind", "from_symbol", "to_symbol").alias("edge_id"), "*", F.concat(F.lit("src/"), F.replace("from_symbol", F.lit(":"), F.lit("/"))).alias("path"))
+    return e.select(ids.stable_id("edge/v1", "kind", "from_symbol", "to_symbol").alias("edge_id"), "*", F.concat(F.lit("src/"), F.replace("from_symbol", F.lit(":"), F.lit("/"))).alias("path"), *_range(line))
 
 
 def _sym(kind, column):
@@ -47,22 +55,56 @@ def removed(s, d):
 
 
 def replacement(s, d):
+    """Imports of rich suppliers go to zones; of calls to removed suppliers every third one is retargeted at its place."""
     rich = table(s, d, "supplier").where("s_acctbal > 9000")
-    return _edge(rich, "imports", _sym("supplier", "s_suppkey"), F.concat(F.lit("zone:"), (F.col("s_nationkey") % 7).cast("string")))
+    zones = _edge(rich, "imports", _sym("supplier", "s_suppkey"), F.concat(F.lit("zone:"), (F.col("s_nationkey") % 7).cast("string")))
+    lost = edges(s, d).where("kind = 'calls'").join(removed(s, d), F.col("to_symbol") == F.col("symbol"), "left_semi")
+    key = F.split_part("to_symbol", F.lit(":"), F.lit(2)).cast("bigint")
+    moved = lost.where(key % 3 == 0).select("kind", "from_symbol", F.concat(F.lit("moved:"), key.cast("string")).alias("to_symbol"), "path", "start_line", "end_line")
+    return zones.unionByName(moved.select(ids.stable_id("edge/v1", "kind", "from_symbol", "to_symbol").alias("edge_id"), "*"))
 
 
 def bfs_edges(depth, directions=("incoming", "outgoing"), kinds=()):
     def run(s, d):
-        found, _ = g.bfs(edges(s, d), roots(s), depth, directions, kinds)
+        held = edges(s, d)
+        found, _ = g.bfs(cut(held.where(F.col("kind").isin(*kinds)) if kinds else held), roots(s), depth, directions, kinds)
         return found.select("edge_id", "kind", "from_symbol", "to_symbol", "level")
 
     return run
 
 
-def bfs_budgeted(s, d):
-    kept, limits = g.bounded_bfs(edges(s, d), roots(s), 40, 60)
-    rows = kept.select("node", "direction", "kind", "edge_id")
-    return rows.unionByName(limits.select(F.lit("limitation").alias("node"), F.lit("none").alias("direction"), F.lit("none").alias("kind"), F.col("code").alias("edge_id")))
+def bfs_budgeted(depth, *budgets):
+    def run(s, d):
+        kept, limits = g.bounded_bfs(cut(edges(s, d)), roots(s), depth, *budgets)
+        rows = kept.select("edge_id", "level")
+        return rows.unionByName(limits.select(F.col("code").alias("edge_id"), F.lit(0).alias("level")))
+
+    return run
+
+
+def scoped_names(s, d):
+    """Names in scope of a brand: parts as local names, of big ones bindings, suppliers as globs and nations as exports."""
+    p = table(s, d, "part").select(F.col("p_brand").alias("scope"), F.element_at(F.split("p_name", " "), 1).alias("name"), _sym("part", "p_partkey").alias("symbol"), F.when(F.col("p_size") > 45, 0).otherwise(1).alias("tier"))
+    scopes = table(s, d, "part").select(F.col("p_brand").alias("scope")).distinct()
+    n = table(s, d, "nation").select(F.lower("n_name").alias("name"), _sym("nation", "n_nationkey").alias("symbol"), F.when(F.col("n_nationkey") % 2 == 0, 2).otherwise(3).alias("tier"))
+    return p.unionByName(scopes.join(n, F.length("scope") > 0).select("scope", "name", "symbol", "tier"))
+
+
+def scoped_calls(s, d):
+    """Calls by lines: of the first and last word of the part's name, and of the nation of its supplier."""
+    words = F.array(F.element_at(F.split("p_name", " "), 1), F.element_at(F.split("p_name", " "), -1), F.lower("p_type"))
+    return table(s, d, "part").select(_sym("part", "p_partkey").alias("source"), F.explode(words).alias("name"), F.col("p_brand").alias("scope"), (F.col("p_partkey") % 5 == 0).alias("is_method"))
+
+
+def described(s, d):
+    """Symbols with whether they are public and stand in tests."""
+    return symbols(s, d).select("symbol", (F.col("kind") == "nation").alias("public"), ((F.col("kind") == "part") & F.col("symbol").endswith("7")).alias("is_test"))
+
+
+def survival(s, d):
+    e = edges(s, d).withColumn("callee", F.col("to_symbol"))
+    facts = e.join(removed(s, d), F.col("to_symbol") == F.col("symbol"), "left_anti")
+    return g.surviving_edges(e, facts).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def references(s, d):
@@ -121,7 +163,10 @@ def queries():
         "bfs_depth1": bfs_edges(1),
         "bfs_depth2": bfs_edges(2),
         "bfs_outgoing_kinds": bfs_edges(3, ("outgoing",), ("imports", "exports")),
-        "bfs_budgeted": bfs_budgeted,
+        "bfs_budgeted": bfs_budgeted(1, 40, 30, 25, 1_000_000),
+        "bfs_budgeted_deep": bfs_budgeted(3, 400, 60, 200, 30_000),
+        "call_edges": lambda s, d: g.call_edges(scoped_calls(s, d), scoped_names(s, d)),
+        "graph_summaries": lambda s, d: g.graph_summaries(edges(s, d), symbols(s, d).where("kind in ('supplier', 'nation')"), described(s, d)),
         "overlay_edges": lambda s, d: g.overlay(edges(s, d), removed(s, d), replacement(s, d)),
         "reverse_dependents": lambda s, d: g.reverse_dependents(edges(s, d), removed(s, d), CALLS),
         "edge_endpoint_filter": lambda s, d: g.with_endpoints(edges(s, d), symbols(s, d).where("kind <> 'customer' and name not like '%1'")).select("edge_id", "kind"),
@@ -137,7 +182,7 @@ def queries():
         "owner_chain": lambda s, d: g.owner_paths(tree(s, d), 3),
         "path_expansion": path_expansion,
         "ordered_imports": ordered_imports,
-        "overlay_edge_survival": lambda s, d: g.surviving_edges(edges(s, d), edges(s, d).join(removed(s, d), F.col("from_symbol") == F.col("symbol"), "left_anti")).groupBy("kind").agg(F.count("*").alias("n")),
+        "overlay_edge_survival": survival,
         "nearest_root": nearest_root,
         "graph_point_query": lambda s, d: symbols(s, d).where(F.col("symbol").isin(*ROOTS)),
     }
@@ -147,7 +192,7 @@ def oracle_sql():
     def edge(kind, a, ak, b, bk, src, where=""):
         return f"SELECT DISTINCT '{kind}' AS kind, '{a}:' || CAST({ak} AS VARCHAR) AS from_symbol, '{b}:' || CAST({bk} AS VARCHAR) AS to_symbol FROM {src} {where}"
 
-    full = lambda q: f"SELECT substr(sha256('edge/v1' || chr(0) || kind || chr(0) || from_symbol || chr(0) || to_symbol || chr(0)), 1, 16) AS edge_id, *, 'src/' || replace(from_symbol, ':', '/') AS path FROM ({q})"
+    full = lambda q: f"SELECT substr(sha256('edge/v1' || chr(0) || kind || chr(0) || from_symbol || chr(0) || to_symbol || chr(0)), 1, 16) AS edge_id, *, 'src/' || replace(from_symbol, ':', '/') AS path, CAST(CAST(split_part(to_symbol, ':', 2) AS INT) % 50 + 1 AS INT) AS start_line, CAST(CAST(split_part(to_symbol, ':', 2) AS INT) % 50 + 2 AS INT) AS end_line FROM ({q})"
     e = "edge AS (" + full(" UNION ALL ".join([
         edge("calls", "part", "l_partkey", "supplier", "l_suppkey", "lineitem"), edge("imports", "supplier", "s_suppkey", "nation", "s_nationkey", "supplier"),
         edge("references", "customer", "c_custkey", "nation", "c_nationkey", "customer"), edge("exports", "nation", "n_nationkey", "region", "n_regionkey", "nation"),
@@ -167,7 +212,7 @@ near AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
 SELECT k.edge_id, k.kind, k.from_symbol, k.to_symbol, CAST({test} + 1 AS INT) AS level FROM k LEFT JOIN near f ON f.node = k.from_symbol LEFT JOIN near t ON t.node = k.to_symbol WHERE {test} < {depth}"""
 
     gone = "gone AS (SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier WHERE s_acctbal < 0)"
-    repl = "repl AS (" + full("SELECT DISTINCT 'imports' AS kind, 'supplier:' || CAST(s_suppkey AS VARCHAR) AS from_symbol, 'zone:' || CAST(s_nationkey % 7 AS VARCHAR) AS to_symbol FROM supplier WHERE s_acctbal > 9000") + ")"
+    repl = "repl AS (" + full("SELECT DISTINCT 'imports' AS kind, 'supplier:' || CAST(s_suppkey AS VARCHAR) AS from_symbol, 'zone:' || CAST(s_nationkey % 7 AS VARCHAR) AS to_symbol FROM supplier WHERE s_acctbal > 9000 UNION ALL SELECT 'calls', from_symbol, 'moved:' || split_part(to_symbol, ':', 2) FROM edge WHERE kind = 'calls' AND to_symbol IN (SELECT symbol FROM gone) AND CAST(split_part(to_symbol, ':', 2) AS BIGINT) % 3 = 0") + ")"
     pre = lambda x: f"unhex(lpad(printf('%x', strlen({x})), 16, '0')) || encode({x})"
     facts_sql = "fact AS (SELECT DISTINCT repo_id, path, fact_id AS id, source_range.start_line AS start_line, source_range.end_line AS end_line FROM normalized_fact)"
     change = "change AS (SELECT DISTINCT file_id, repo_id, path, r.start_line AS start_line, r.end_line AS end_line FROM (SELECT file_id, repo_id, path, unnest(changed_ranges) AS r FROM candidate_file))"
@@ -178,19 +223,35 @@ SELECT k.edge_id, k.kind, k.from_symbol, k.to_symbol, CAST({test} + 1 AS INT) AS
         "bfs_depth2": bfs(2),
         "bfs_outgoing_kinds": bfs(3, False, ("imports", "exports")),
         "bfs_budgeted": f"""WITH {e}, {root},
-l AS (SELECT node, 'outgoing' AS direction, kind, edge_id FROM edge JOIN root ON from_symbol = node UNION ALL SELECT node, 'incoming', kind, edge_id FROM edge JOIN root ON to_symbol = node),
-r AS (SELECT *, row_number() OVER (PARTITION BY node, direction ORDER BY kind, edge_id) AS n, count(*) OVER (PARTITION BY node, direction) AS a FROM l),
-k AS (SELECT *, row_number() OVER (ORDER BY node, direction, edge_id) AS place FROM r WHERE n <= 40)
-SELECT node, direction, kind, edge_id FROM k WHERE place <= 60
-UNION ALL SELECT 'limitation', 'none', 'none', 'traversal-row-budget-exhausted' WHERE (SELECT max(a) FROM r) > 40
-UNION ALL SELECT 'limitation', 'none', 'none', 'traversal-edge-budget-exhausted' WHERE (SELECT count(*) FROM k) > 60""",
+l AS (SELECT node, 0 AS turn, kind, edge_id, to_symbol AS other FROM edge JOIN root ON from_symbol = node UNION ALL SELECT node, 1, kind, edge_id, from_symbol FROM edge JOIN root ON to_symbol = node),
+c AS (SELECT node, turn, count(*) AS n, sum(count(*)) OVER (ORDER BY node, turn ROWS UNBOUNDED PRECEDING) AS upto FROM l GROUP BY node, turn),
+h AS (SELECT node, turn, 40 - (upto - n) AS most FROM c WHERE n >= 40 - (upto - n) ORDER BY node, turn LIMIT 1),
+r AS (SELECT l.*, row_number() OVER (PARTITION BY l.node, l.turn ORDER BY kind, edge_id) AS k FROM l),
+got AS (SELECT r.* FROM r LEFT JOIN h ON true WHERE h.node IS NULL OR (r.node, r.turn) < (h.node, h.turn) OR (r.node = h.node AND r.turn = h.turn AND r.k <= h.most)),
+one AS (SELECT edge_id, row_number() OVER (ORDER BY min((node, turn, edge_id))) AS place FROM got GROUP BY edge_id),
+fresh AS (SELECT count(DISTINCT other) AS n FROM got WHERE other IS NOT NULL AND other NOT IN (SELECT node FROM root))
+SELECT edge_id, 1 AS level FROM one WHERE place <= 25
+UNION ALL SELECT 'index-query-row-budget-exhausted', 0 FROM h
+UNION ALL SELECT 'index-edge-budget-exhausted', 0 WHERE (SELECT count(*) FROM one) > 25
+UNION ALL SELECT 'index-node-budget-exhausted', 0 WHERE (SELECT n FROM fresh) + {len(ROOTS)} > 30
+UNION ALL SELECT 'index-graph-depth-budget-exhausted', 0 WHERE NOT EXISTS (SELECT 1 FROM h) AND (SELECT n FROM fresh) > 0""",
+        "call_edges": f"""WITH scopes AS (SELECT DISTINCT p_brand AS scope FROM part),
+names AS (SELECT p_brand AS scope, string_split(p_name, ' ')[1] AS name, 'part:' || CAST(p_partkey AS VARCHAR) AS symbol, CASE WHEN p_size > 45 THEN 0 ELSE 1 END AS tier FROM part
+  UNION ALL SELECT scope, lower(n_name), 'nation:' || CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 3 END FROM scopes, nation),
+best AS (SELECT scope, name, arg_min(n, tier) AS n, arg_min(o, tier) AS o FROM (SELECT scope, name, tier, count(DISTINCT symbol) AS n, min(symbol) AS o FROM names GROUP BY ALL) GROUP BY scope, name),
+call AS (SELECT DISTINCT 'part:' || CAST(p_partkey AS VARCHAR) AS source, unnest([string_split(p_name, ' ')[1], string_split(p_name, ' ')[-1], lower(p_type)]) AS name, p_brand AS scope, p_partkey % 5 = 0 AS is_method FROM part),
+e AS (SELECT source, name, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 OR is_method THEN 'polymorphic' ELSE 'resolved' END AS resolution, CASE WHEN n = 1 AND NOT is_method THEN o END AS target FROM call LEFT JOIN best USING (scope, name))
+SELECT source, name, 'calls' AS kind, candidates, resolution, target FROM e UNION ALL SELECT source, name, 'references', candidates, resolution, target FROM e WHERE resolution = 'resolved'""",
+        "graph_summaries": f"""WITH {e}, {sym}, c AS (SELECT symbol FROM sym WHERE kind IN ('supplier', 'nation')),
+near AS (SELECT to_symbol AS here, from_symbol AS other, CASE WHEN kind = 'calls' THEN 'caller' ELSE 'reverse' END AS role FROM edge WHERE kind IN ('calls', 'imports', 'references') UNION SELECT from_symbol, to_symbol, 'callee' FROM edge WHERE kind = 'calls')
+SELECT symbol, starts_with(symbol, 'nation:') AS interface_change, count(DISTINCT CASE WHEN role = 'caller' THEN other END) AS callers, count(DISTINCT CASE WHEN role = 'callee' THEN other END) AS callees,
+  count(DISTINCT CASE WHEN role = 'reverse' THEN other END) AS reverse_dependents, count(DISTINCT CASE WHEN other LIKE 'part:%7' THEN other END) AS connected_tests FROM c LEFT JOIN near ON here = symbol GROUP BY symbol""",
         "overlay_edges": f"""WITH {e}, {gone}, {repl},
 kept AS (SELECT * FROM edge WHERE from_symbol NOT IN (SELECT symbol FROM gone) AND edge_id NOT IN (SELECT edge_id FROM repl)),
-retarget AS (SELECT DISTINCT path, kind FROM repl WHERE to_symbol NOT IN (SELECT symbol FROM gone)),
-broken AS (SELECT * FROM kept k WHERE to_symbol IN (SELECT symbol FROM gone) AND NOT EXISTS (SELECT 1 FROM retarget t WHERE t.path = k.path AND t.kind = k.kind))
-SELECT edge_id, kind, from_symbol, to_symbol, CAST(NULL AS VARCHAR) AS unresolved_target, path, 'resolved' AS resolution, 'high' AS confidence, 'base' AS origin FROM kept WHERE to_symbol NOT IN (SELECT symbol FROM gone)
-UNION ALL SELECT sha256({pre("'repository-overlay-deleted-target/v1'")} || {pre('edge_id')} || {pre('to_symbol')}), kind, from_symbol, NULL, to_symbol, path, 'unresolved', 'low', 'deleted-target' FROM broken
-UNION ALL SELECT edge_id, kind, from_symbol, to_symbol, NULL, path, 'resolved', 'high', 'overlay' FROM repl""",
+broken AS (SELECT * FROM kept k WHERE to_symbol IN (SELECT symbol FROM gone) AND NOT EXISTS (SELECT 1 FROM repl t WHERE t.path = k.path AND t.kind = k.kind AND t.start_line = k.start_line AND t.end_line = k.end_line AND t.to_symbol <> k.to_symbol))
+SELECT edge_id, kind, from_symbol, to_symbol, CAST(NULL AS VARCHAR) AS unresolved_target, path, start_line, end_line, 'resolved' AS resolution, 'high' AS confidence, 'base' AS origin FROM kept WHERE to_symbol NOT IN (SELECT symbol FROM gone)
+UNION ALL SELECT sha256({pre("'repository-overlay-deleted-target/v1'")} || {pre('edge_id')} || {pre('to_symbol')}), kind, from_symbol, NULL, to_symbol, path, start_line, end_line, 'unresolved', 'low', 'deleted-target' FROM broken
+UNION ALL SELECT edge_id, kind, from_symbol, to_symbol, NULL, path, start_line, end_line, 'resolved', 'high', 'overlay' FROM repl""",
         "reverse_dependents": f"""WITH RECURSIVE {e}, {gone}, walk AS (SELECT symbol, 0 AS round FROM gone UNION SELECT k.from_symbol, w.round + 1 FROM walk w JOIN edge k ON k.to_symbol = w.symbol WHERE w.round < 5),
 near AS (SELECT symbol, min(round) AS round FROM walk GROUP BY symbol) SELECT symbol, CAST(round AS INT) AS round FROM near WHERE round > 0""",
         "edge_endpoint_filter": f"""WITH {e}, {sym}, s AS (SELECT symbol FROM sym WHERE kind <> 'customer' AND name NOT LIKE '%1')
@@ -218,7 +279,7 @@ SELECT o.s AS old_symbol, coalesce(w.s, u.s) AS new_symbol, CASE WHEN w.s IS NOT
         "path_expansion": """WITH m AS (SELECT n_nationkey, r_name AS r, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT n_nationkey, 'crate::io' AS path, 'app::io' AS absolute FROM m UNION ALL SELECT n_nationkey, 'self::io::read', 'app::' || r || '::' || n || '::io::read' FROM m UNION ALL SELECT n_nationkey, 'super::peer', 'app::' || r || '::peer' FROM m
 UNION ALL SELECT n_nationkey, 'super::super::top', 'app::top' FROM m UNION ALL SELECT n_nationkey, 'super::super::super::up', NULL FROM m UNION ALL SELECT n_nationkey, 'std::mem', 'std::mem' FROM m""",
-        "overlay_edge_survival": f"WITH {e}, {gone}, f AS (SELECT DISTINCT path, kind FROM edge WHERE from_symbol NOT IN (SELECT symbol FROM gone)) SELECT kind, count(*) AS n FROM edge JOIN f USING (path, kind) GROUP BY kind",
+        "overlay_edge_survival": f"WITH {e}, {gone} SELECT kind, count(*) AS n FROM edge WHERE to_symbol NOT IN (SELECT symbol FROM gone) GROUP BY kind",
         "nearest_root": """WITH p AS (SELECT DISTINCT path FROM manifest_entry), r AS (SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS root FROM manifest_entry WHERE regexp_extract(path, '^([^/]+/[^/]+)/', 1) <> '')
 SELECT path, arg_max(root, length(root)) AS root FROM p JOIN r ON starts_with(path, root || '/') GROUP BY path""",
         "graph_point_query": f"WITH {sym} SELECT * FROM sym WHERE symbol IN ({', '.join(repr(r) for r in ROOTS)})",

@@ -46,7 +46,7 @@ def seed_limitations(s, d):
 
 def recall_delta(s, d):
     i = table(s, d, "eval_item").select("scenario", "prompt", F.coalesce("expected.must_include", F.array().cast("array<string>")).alias("terms"))
-    was = i.select("scenario", evaluation.term_recall(None, F.substring("prompt", 1, 500)).alias("met"))
+    was = i.select("scenario", evaluation.term_recall(None, F.split_part("prompt", F.lit("\n\n"), F.lit(1))).alias("met"))
     now = i.select("scenario", evaluation.term_recall(None, "prompt").alias("met"))
     return evaluation.recall_delta(was, now, ["scenario"])
 
@@ -119,7 +119,7 @@ SELECT DISTINCT repo_id, path, id AS seed FROM fact f WHERE EXISTS (SELECT 1 FRO
 UNION SELECT repo_id, path, 'file:' || path FROM candidate_file WHERE presence = 'deleted'""",
         "seed_limitations": "SELECT repo_id, path, 'changed-symbol-not-indexed' AS code FROM (SELECT DISTINCT repo_id, path FROM candidate_file) ANTI JOIN normalized_fact USING (repo_id, path)",
         "recall_delta": """WITH i AS (SELECT scenario, prompt, coalesce(expected.must_include, []) AS terms FROM eval_item),
-m AS (SELECT scenario, len(list_filter(terms, lambda t: NOT contains(lower(substr(prompt, 1, 500)), lower(t)))) = 0 AS w, len(list_filter(terms, lambda t: NOT contains(lower(prompt), lower(t)))) = 0 AS n FROM i)
+m AS (SELECT scenario, len(list_filter(terms, lambda t: NOT contains(lower(split_part(prompt, chr(10) || chr(10), 1)), lower(t)))) = 0 AS w, len(list_filter(terms, lambda t: NOT contains(lower(prompt), lower(t)))) = 0 AS n FROM i)
 SELECT scenario, count(*) FILTER (WHERE w) * 100 // count(*) AS was, count(*) FILTER (WHERE n) * 100 // count(*) AS now, count(*) FILTER (WHERE n) * 100 // count(*) - count(*) FILTER (WHERE w) * 100 // count(*) AS delta FROM m GROUP BY scenario""",
         "module_tree": """SELECT 'world' AS module_path, 'lib' AS file UNION ALL SELECT 'world::' || r_name, 'r' || CAST(r_regionkey AS VARCHAR) FROM region
 UNION ALL SELECT 'world::' || r_name || '::' || n_name, 'n' || CAST(n_nationkey AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey""",

@@ -18,7 +18,7 @@ def sarif_reports(s, d):
     """One SARIF document per provider and repository, made from the facts."""
     f = table(s, d, "normalized_fact").select("fact_id", "provider_id", "repo_id", "rule_id", "path", "text", "confidence", "source_range").distinct()
     result = F.struct(
-        F.col("rule_id").alias("ruleId"), F.when(F.col("confidence") == "high", "error").otherwise("note").alias("level"), F.struct(F.substring("text", 1, 80).alias("text")).alias("message"),
+        F.col("rule_id").alias("ruleId"), F.when(F.col("confidence") == "high", "error").otherwise("note").alias("level"), F.struct("text").alias("message"),
         F.array(F.struct(F.struct(F.struct(F.concat(F.lit("file://./"), F.col("path")).alias("uri")).alias("artifactLocation"), F.struct(F.col("source_range.start_line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"),
     )
     return f.groupBy("provider_id", "repo_id", "path").agg(F.collect_list(result).alias("results")).select(
@@ -136,7 +136,7 @@ SELECT repo_id, count(*) FILTER (WHERE f <= 12 AND b <= 15000) AS kept, count(*)
         "rust_calls": f"""WITH {files}, {rows}, m AS (SELECT file_id, unnest(regexp_extract_all(line, '{syntax.CALL}', 1)) AS name, unnest(regexp_extract_all(line, '{syntax.CALL}', 2)) AS b FROM code WHERE NOT regexp_matches(line, '{sym}'))
 SELECT file_id, name, b = '!' AS is_macro, count(*) AS n FROM m WHERE name NOT IN ({not_calls}) GROUP BY ALL""",
         "report_formats": "SELECT 'sarif' AS format, count(*) AS n FROM (SELECT DISTINCT provider_id, repo_id, path FROM normalized_fact) UNION ALL SELECT 'unknown', count(*) FROM publication_raw",
-        "evidence_by_sarif": r"""WITH f AS (SELECT DISTINCT fact_id, provider_id, repo_id, rule_id, path, substr(text, 1, 80) AS t, confidence, source_range.start_line AS s FROM normalized_fact),
+        "evidence_by_sarif": r"""WITH f AS (SELECT DISTINCT fact_id, provider_id, repo_id, rule_id, path, text AS t, confidence, source_range.start_line AS s FROM normalized_fact),
 k AS (SELECT repo_id, provider_id, rule_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS m, path, s, max(CASE WHEN confidence = 'high' THEN 4 ELSE 2 END) AS r FROM f GROUP BY repo_id, provider_id, rule_id, m, path, s)
 SELECT CASE r WHEN 4 THEN 'error' ELSE 'note' END AS severity, count(*) AS n FROM k GROUP BY 1""",
         "fact_store": f"""WITH {files}, c AS (SELECT sha256(text) AS k, sha256(path) AS p, CASE WHEN contains(path, 'ledger') THEN 'old' ELSE 'new' END AS v FROM file), s AS (SELECT k, min(p) AS p, arg_min(v, p) AS v FROM c GROUP BY k)
