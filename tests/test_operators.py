@@ -108,8 +108,8 @@ def test_graph_cycles_unresolved_targets_and_overlays(spark):
     assert over["e1"] == ("b", None, "base") and over["n1"] == ("x", None, "overlay") and "e3" not in over and "e5" not in over and "e2" not in over
     assert sorted(v for v in over.values() if v[2] == "deleted-target") == [(None, "c", "deleted-target")]
     assert {r.symbol: r.round for r in graph.reverse_dependents(e, removed, ("calls",)).collect()} == {"b": 1, "d": 1, "a": 2}
-    kept, limits = graph.bounded_bfs(e, spark.createDataFrame([("c",), ("b",)], "node string"), 1, 2)
-    assert kept.count() == 2 and {r.code for r in limits.collect()} == {"traversal-row-budget-exhausted", "traversal-edge-budget-exhausted"}
+    kept, limits = graph.bounded_bfs(e, spark.createDataFrame([("c",), ("b",)], "node string"), 1, 3, 100, 2, 10**6)
+    assert kept.count() == 2 and {r.code for r in limits.collect()} == {"index-query-row-budget-exhausted", "index-edge-budget-exhausted"}
 
 
 def test_resolution_and_ranges(spark):
