@@ -5,9 +5,10 @@ Linear support-vector classifiers, one per kind, score each file on three views:
 * hashed character n-grams of its text with giveaway notices masked, so that the
   text view learns how such files are written, not their headers;
 * path components and the parts of the file name;
-* notices (their kind and place), the shape of the text (line lengths, shares of
-  digits, of base64 runs and of table rows, ..) and how much of it other
-  repositories hold too.
+* notices (their kind and place), whether a copyright holder is the repository's
+  own, the shape of the text (line lengths, shares of digits, of base64 runs and
+  of table rows, ..), the language the manifest names, and how much of the text
+  other repositories hold too.
 
 They are fitted on a bounded sample of files labelled by their giveaways, each
 shown whole, with its notices masked, and with its path masked, so that a file
@@ -15,8 +16,12 @@ that lacks one of them is still recognised. Repositories are split for
 validation: those with a hash of 0 mod 5 only measure.
 
 Copies between repositories are found over all files: each file keeps the
-``SKETCH`` least hashes of its long lines, and a hash counts as shared when two
-repositories hold it. Only hashes and counts are shuffled, never texts.
+``SKETCH`` least hashes of its lines (of statements where lines are very long, of
+runs of lines where they are short), and a hash counts as shared when
+two repositories hold it. A repository's own holder is the one that most of its
+files without other signs of foreign origin name. Only hashes, names and counts
+are shuffled, never texts; what files of other rows tell about a file is added to
+its linear score afterwards, by joins of narrow rows.
 
 Defined results: entries not present, without text content, or with binary
 content give no row; every listing of a (repo_id, path) counts, later ones too;
@@ -41,10 +46,13 @@ KINDS = ("generated", "minified", "vendored", "data")
 BITS = 18
 SKETCH = 12
 LONG_LINE = 32
+SHORT_RUN = 8  # successive lines that count as one where lines are short
+WIDE_LINE = 2_000  # longer lines are taken apart into statements
 HOT_FILES = 20_000  # a line in more files than that is looked up by broadcast
 TRAIN_ROWS = 3_000  # labelled files fitted on at most, half of them hand-written
 GRAM_SCALE = 1.0  # length of the n-gram part of a file, whose named features are 1 each
 MASKED_WEIGHT = 0.02  # of a view in which every giveaway is masked and only the way of writing is left
+BAR = 0.3  # the score above which a file is not hand-written here
 TRAIN_BYTES = 65_536  # longer files are scored whole, but not fitted on
 
 # Parts of paths that give a file away.
@@ -53,18 +61,20 @@ GENERATED_PARTS = frozenset("gen generated __generated__ .autogen autogen autoge
 NAME_PARTS = frozenset("min pb g snap generated bundle designer".split())
 # Wordings of notices in comments.
 COMMENT = re.compile(r"[ \t]*(?://|#|--|/\*|\*|;|<!--|%|\"\"\")")
+CLOSERS = {"/*": "*/", "<!--": "-->", '"""': '"""'}
 GENERATED = re.compile(
     r"(?i)@generated\b|\bcode generated by\b|auto[- ]?generated (?:file|by|with|from|code)|</?auto-?generated>|autogenerated|automatically generated (?:from|by)|\bgenerated (?:from|by) \S+[.:]|manual changes will be lost"
     r"|\bdo not (?:edit|modify)\b|machine[- ](?:written|generated) by|regenerate instead of editing|regenerated nightly|rerun the tool|edit that instead|自动生成|自動生成|请勿手动修改|maschinell erzeugt|automatisch (?:erzeugt|generiert)|nicht bearbeiten"
     r"|generado automáticamente|no (?:editar|modificar)\b|généré automatiquement|ne pas (?:modifier|éditer)"
 )
-BY_HAND = re.compile(r"(?i)by hand|edit freely|writes? the line|into its output|rewritten|checked by|maintained|detects?\b|\bif\b.*\bthen\b|replaces the|nothing of it is left")
+BY_HAND = re.compile(r"(?i)by hand|edit freely|\bwrites?\b|rewritten|checked by|maintained|detects?\b|\bif\b.*\bthen\b|\breplaces\b")
 FOREIGN = re.compile(
     r"(?i)vendored from \S+|upstream: ?\S+@\S+|\blocal copy\b|keep in sync with upstream|copied from \S+[/@.]\S+|imported from \S+@|spdx-filecopyrighttext|spdx-license-identifier|licensed under the|\b(?:mit|bsd|apache)\b.{0,14}licen[cs]e"
     r"|\(c\) .{2,60}\b(?:mit|bsd|apache|isc)\b|/\*! ?[\w.-]+ v\d|^\W*[\w.-]+ \d+\.\d+\.\d+\s*$"
 )
 HOLDER = re.compile(r"(?i)copyright (?:\(c\) |© )?(?:\d{4}(?:-\d{4})? )?([A-Z一-鿿][^\n.,;*]{2,60})")
 SOURCE_MAP = re.compile(r"[#@] ?sourceMappingURL=")
+STATEMENT = re.compile(rb"(?<=[;}])")
 WEIGH = re.compile(rb"[A-Za-z0-9+/=]{60,}")
 ROW = re.compile(rb"^[ \t]*(?:[\[({]?[ \t]*(?:0x[0-9a-fA-F]+|-?\d[\d.]*|\"[^\"\n]{0,40}\" ?: ?[^,\n]{1,40})(?:[ \t]*[,:)\]}]+[ \t]*|$)){2,}|^[ \t]*\"[A-Za-z0-9+/=]{40,}\"[,)]?[ \t]*\r?$", re.M)
 TRIGGERS = (
@@ -113,8 +123,10 @@ def notices(text: str) -> tuple[list[tuple[str, str]], list[str], list[tuple[int
     for at in sorted(hits):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
-        if end - at >= 400 or not COMMENT.match(text, at):
+        if not (opened := COMMENT.match(text, at)):
             continue
+        if (close := CLOSERS.get(opened[0].strip())) and (closed := text.find(close, opened.end(), end)) >= 0:
+            end = closed + len(close)  # code may follow on the line
         line = text[at:end].strip()
         no = text.count("\n", 0, at)
         place = "head" if no < 4 else "tail" if no > n_lines - 5 else "inner"
@@ -209,29 +221,37 @@ class Masked:
         self.raw = raw
 
     def sketch(self) -> list[int]:
-        """The least hashes of its long lines, without notices; fewer than three tell nothing."""
+        """The least hashes of its lines, without notices; fewer than three tell nothing."""
         import xxhash
 
-        seen = {xxhash.xxh64_intdigest(s) for line in self.body.split(b"\n") if len(s := line.strip()) >= LONG_LINE and len(s) < 2000 and b"pinned at" not in s}
-        low = sorted(seen)[:SKETCH]
-        return [h - (1 << 63) for h in low] if len(seen) >= 3 else []
-
-    def view(self, own: str | None, notes: bool = True, path: bool = True) -> list[str]:
-        """Named features; ``own`` is the corpus' commonest copyright holder."""
+        lines = [x for x in (line.strip() for line in self.body.split(b"\n")) if x]
+        units = {x for x in lines if LONG_LINE <= len(x) < WIDE_LINE}
+        for line in lines:
+            if len(line) >= WIDE_LINE:
+                units.update(x for x in STATEMENT.split(line) if len(x) >= LONG_LINE)
+        if len(units) < 3:
+            units |= {x for k in range(len(lines) - SHORT_RUN + 1) if len(x := b"\n".join(lines[k:k + SHORT_RUN])) >= LONG_LINE}
+        low = sorted(map(xxhash.xxh64_intdigest, units))[:SKETCH]
+        return [h - (1 << 63) for h in low] if len(units) >= 3 else []
+
+    def view(self, notes: bool = True, path: bool = True) -> list[str]:
+        """Named features that the file itself tells."""
         out = list(shape_features(self.body)) if self.body.strip() else ["H:empty"]
         if path:
             out += path_features(self.path)
         if notes:
             out += [f"W:{kind}" for kind, _ in set(self.notes)] + [f"W:{kind}@{place}" for kind, place in set(self.notes)]
-            out += ["W:holder=" + ("own" if h == own else "other") for h in set(self.holders)]
         return out
 
-    def label(self, own: str | None) -> str | None:
-        """The kind its giveaways say, ``hand`` without any, None if they contradict each other."""
+    def foreign(self) -> bool:
+        """Whether a notice or the path says that the file comes from elsewhere."""
+        return any(k == "foreign" for k, _ in self.notes) or "V:vendor" in path_features(self.path)
+
+    def label(self, other_holder: bool) -> str | None:
+        """The kind its giveaways say, ``hand`` without any; ``other_holder``: it names a holder that is not its repository's own."""
         names = path_features(self.path)
         kinds = {k for k, _ in self.notes}
         shape = set(shape_features(self.body)) if self.body.strip() else set()
-        foreign = "foreign" in kinds or any(h != own for h in self.holders)
         dense = next((h.split("|")[1:] for h in shape if h.startswith("H:dense=True")), None)  # steps of spaces and of punctuation
         if "map" in kinds or "M:min" in names or dense and (dense[0] == "0" or dense[0] <= "2" and dense[1] >= "2") and "H:bulk=False" in shape:
             return "minified"
@@ -239,7 +259,7 @@ class Masked:
             return "generated"
         if "hand" in kinds:
             return "hand"
-        if foreign or "V:vendor" in names:
+        if other_holder or self.foreign():
             return "vendored"
         if "H:bulk=True" in shape:
             return "data"
@@ -292,15 +312,15 @@ class Machines:
         return self.by_slot[named].sum(0) + grams[1] @ self.by_slot[grams[0]]
 
 
-READ = "file_id bigint, repo_id string, path string, label string, holders array<string>, sketch array<bigint>, n_bytes bigint"
+READ = "repo_id string, path string, holders array<string>, is_foreign boolean, sketch array<bigint>, n_bytes bigint"
 
 
 def _read_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for file_id, repo, path, raw in zip(batch["file_id"], batch["repo_id"], batch["path"], batch["bytes"]):
+        for repo, path, raw in zip(batch["repo_id"], batch["path"], batch["bytes"]):
             m = Masked(path, raw)
-            rows.append((file_id, repo, path, None, sorted(set(m.holders)), m.sketch(), len(raw)))
+            rows.append((repo, path, sorted(set(m.holders)), m.foreign(), m.sketch(), len(raw)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
 
@@ -324,54 +344,92 @@ def copied_shares(read: DataFrame) -> DataFrame:
     return joined.groupBy("repo_id", "path").agg(F.floor(F.avg(F.col("elsewhere").cast("int")) * 10).cast("int").alias("shared"))
 
 
-def classified(content: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, Machines, dict]:
+def own_holders(read: DataFrame) -> DataFrame:
+    """(repo_id, own): the copyright holder that most of a repository's files name, of those without other signs of foreign origin.
+
+    A holder of a single such file counts only if no other is named more often in the whole corpus.
+    """
+    each = read.where("not is_foreign").select("repo_id", F.explode("holders").alias("holder")).groupBy("repo_id", "holder").agg(F.count("*").alias("n"))
+    each = cut(each)
+    corpus = each.groupBy("holder").agg(F.sum("n").alias("in_all"))
+    most = corpus.agg(F.max(F.struct("in_all", "holder")).alias("m")).select(F.col("m.holder").alias("commonest"))
+    top = most.first()
+    ranked = each.join(small(corpus), "holder").where((F.col("n") > 1) | (F.col("holder") == F.lit(top.commonest if top else None)))
+    return ranked.groupBy("repo_id").agg(F.max_by("holder", F.struct("n", "in_all", "holder")).alias("own"))
+
+
+def surroundings(read: DataFrame, manifest: DataFrame | None) -> DataFrame:
+    """(repo_id, path, shared, own_holder, other_holder, language) of each file: what only other rows tell about it."""
+    owners = own_holders(read)
+    files = read.groupBy("repo_id", "path").agg(F.array_distinct(F.flatten(F.collect_list("holders"))).alias("holders"))
+    j = files.join(small(cut(owners)), "repo_id", "left")
+    own = F.exists("holders", lambda h: h == F.col("own"))
+    other = F.exists("holders", lambda h: F.coalesce(h != F.col("own"), F.lit(True)))
+    j = j.select("repo_id", "path", F.coalesce(own, F.lit(False)).alias("own_holder"), F.coalesce(other, F.lit(False)).alias("other_holder"))
+    j = j.join(copied_shares(read), ["repo_id", "path"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    if manifest is None or "language" not in manifest.columns:
+        return j.withColumn("language", F.lit("none"))
+    word = F.lower(F.trim("language"))
+    named = manifest.where("presence = 'present'").select("repo_id", "path", F.when((word == "") | (word == "unknown"), F.lit(None)).otherwise(word).alias("language"))
+    named = named.where("language is not null and path is not null").groupBy("repo_id", "path").agg(F.min("language").alias("language"))
+    return j.join(named, ["repo_id", "path"], "left").withColumn("language", F.coalesce("language", F.lit("none")))
+
+
+def around(shared: int, own_holder: bool, other_holder: bool, language: str, notes: bool = True) -> list[str]:
+    """Named features of a file's surroundings."""
+    out = [f"C:shared={shared}", f"L:{language}"]
+    return out + ["W:holder=own"] * (own_holder and notes) + ["W:holder=other"] * (other_holder and notes)
+
+
+def classified(content: DataFrame, manifest: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, Machines, dict]:
     """(repo_id, path, kind, score) of every text file with its best kind, the machines, and how they did in validation."""
     source = texts(content)
     read = cut(source.mapInPandas(_read_pass, READ))
-    top = read.select(F.explode("holders").alias("h")).groupBy("h").count().orderBy(F.desc("count"), "h").head(1)
-    own = top[0].h if top else None
-    shares = cut(copied_shares(read))
-    sample = _sample(source, read, own, shares, train_rows)
+    near = cut(surroundings(read, manifest))
+    sample = _sample(source, read, near, train_rows)
     rows, held = [], []
-    for repo, path, raw, label, shared in sample:
+    for repo, path, raw, label, shared, own, other, language in sample:
         m = Masked(path, bytes(raw))
-        group = f"C:shared={shared}"
-        views = [m.view(own), m.view(own, notes=False), m.view(own, path=False), m.view(own, notes=False, path=False)]
+        views = [m.view(), m.view(notes=False), m.view(path=False), m.view(notes=False, path=False)]
         in_text = label in ("hand", "minified", "data") or shared >= 5
         by_path = any(v.startswith("V:") for v in views[1])
         tells = (True, in_text or by_path, in_text or bool(m.notes or m.holders), in_text)
         grams = gram_values(m.body)  # held once for all views
-        ready = [(named_slots([*v, group]), grams, label, 1.0 if told else MASKED_WEIGHT) for v, told in zip(views, tells)]
+        ready = [(named_slots([*v, *around(shared, own, other, language, k in (0, 2))]), grams, label, 1.0 if told else MASKED_WEIGHT) for k, (v, told) in enumerate(zip(views, tells))]
         if _slot(f"repo:{repo}") % 5 == 0:
             held.append((ready, label))
         else:
             rows += ready
     machines = Machines.fit(rows)
     report = _validate(machines, held)
-    spark = content.sparkSession
-    sent = spark.sparkContext.broadcast((machines.weights.astype(np.float32), own))
+    sent = content.sparkSession.sparkContext.broadcast(machines.weights.astype(np.float32))
     schema = "repo_id string, path string, s0 float, s1 float, s2 float, s3 float"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, holder = sent.value
-        fitted = Machines(weights)
+        fitted = Machines(sent.value)
         for batch in batches:
             out = np.zeros((len(batch), len(KINDS)), np.float32)
             for i, (path, raw) in enumerate(zip(batch["path"], batch["bytes"])):
                 m = Masked(path, raw)
-                out[i] = fitted.scores(named_slots(m.view(holder)), gram_values(m.body))
+                out[i] = fitted.scores(named_slots(m.view()), gram_values(m.body))
             yield pd.DataFrame({"repo_id": batch["repo_id"], "path": batch["path"], **{f"s{k}": out[:, k] for k in range(len(KINDS))}})
 
     scored = source.mapInPandas(score, schema)
-    group = [[float(machines.weights[k, _slot(f"C:shared={s}")]) for s in range(11)] for k in range(len(KINDS))]
-    plus = scored.join(shares, ["repo_id", "path"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    final = [F.col(f"s{k}") + F.element_at(F.array(*map(F.lit, group[k])), F.col("shared") + 1) for k in range(len(KINDS))]
+    plus = scored.join(near, ["repo_id", "path"])
+    languages = sorted({language for *_, language in sample})  # of the bounded sample; others weigh nothing
+    final = []
+    for k in range(len(KINDS)):
+        weight = lambda name, k=k: F.lit(float(machines.weights[k, _slot(name)]))
+        by_share = F.element_at(F.array(*[weight(f"C:shared={s}") for s in range(11)]), F.col("shared") + 1)
+        by_language = F.coalesce(F.try_element_at(F.create_map(*[x for n in languages for x in (F.lit(n), weight(f"L:{n}"))]), F.col("language")), F.lit(0.0)) if languages else F.lit(0.0)
+        by_holder = F.when(F.col("own_holder"), weight("W:holder=own")).otherwise(0.0) + F.when(F.col("other_holder"), weight("W:holder=other")).otherwise(0.0)
+        final.append(F.col(f"s{k}") + by_share + by_language + by_holder)
     best = F.greatest(*final)
     kind = F.coalesce(*[F.when(final[k] == best, F.lit(name)) for k, name in enumerate(KINDS)])
     return plus.select("repo_id", "path", kind.alias("kind"), best.alias("score")), machines, report
 
 
-def _sample(source: DataFrame, read: DataFrame, own: str | None, shares: DataFrame, most: int) -> list[tuple]:
+def _sample(source: DataFrame, read: DataFrame, near: DataFrame, most: int) -> list[tuple]:
     """Labelled files to fit on: at most ``most``, half of them hand-written, chosen by a hash of their place.
 
     About four times as many files are drawn, labelled and kept, whatever the size of the corpus.
@@ -379,22 +437,22 @@ def _sample(source: DataFrame, read: DataFrame, own: str | None, shares: DataFra
     total = read.where(F.col("n_bytes") <= TRAIN_BYTES).count()
     keep = min(1.0, 4.0 * most / max(1, total))
     pick = F.pmod(F.xxhash64(F.lit("fit"), "repo_id", "path"), F.lit(10**15))
-    schema = "repo_id string, path string, bytes binary, label string, pick bigint"
+    schema = "repo_id string, path string, bytes binary, if_own string, if_other string, pick bigint"
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            labels = [Masked(p, b).label(own) for p, b in zip(batch["path"], batch["bytes"])]
-            yield pd.DataFrame({"repo_id": batch["repo_id"], "path": batch["path"], "bytes": batch["bytes"], "label": labels, "pick": batch["pick"]})
+            both = [(m.label(False), m.label(True)) for m in map(Masked, batch["path"], batch["bytes"])]
+            yield pd.DataFrame({"repo_id": batch["repo_id"], "path": batch["path"], "bytes": batch["bytes"], "if_own": [x for x, _ in both], "if_other": [x for _, x in both], "pick": batch["pick"]})
 
     drawn = source.withColumn("pick", pick).where((F.col("pick") < F.lit(int(keep * 10**15) + 1)) & (F.octet_length("bytes") <= TRAIN_BYTES))
     labelled = cut(drawn.select("repo_id", "path", "bytes", "pick").mapInPandas(label, schema))
     keys = labelled.select("repo_id", "path").distinct()
-    theirs = shares.join(small(keys), ["repo_id", "path"], "left_semi")
-    labelled = labelled.join(small(theirs), ["repo_id", "path"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    theirs = near.join(small(keys), ["repo_id", "path"], "left_semi")
+    labelled = labelled.join(small(theirs), ["repo_id", "path"]).withColumn("label", F.when(F.col("other_holder"), F.col("if_other")).otherwise(F.col("if_own")))
     labelled = labelled.where("not (label = 'hand' and shared >= 5)")  # a copy without giveaways has no known label
     hand = labelled.where("label = 'hand'").orderBy("pick").limit(most // 2)
     rest = labelled.where("label <> 'hand'").orderBy("pick").limit(most - most // 2)
-    rows = hand.unionByName(rest).select("repo_id", "path", "bytes", "label", "shared").collect()
+    rows = hand.unionByName(rest).select("repo_id", "path", "bytes", "label", "shared", "own_holder", "other_holder", "language").collect()
     return sorted((tuple(r) for r in rows), key=lambda r: (r[0] or "", r[1]))
 
 
@@ -404,7 +462,7 @@ def _validate(machines: Machines, held: list) -> dict:
     for name, at in (("whole", 0), ("notices_masked", 1)):
         hit = wrong = missed = 0
         for ready, label in held:
-            said = machines.scores(*ready[at][:2]).max() > 0
+            said = machines.scores(*ready[at][:2]).max() > BAR
             hit += said and label != "hand"
             wrong += said and label == "hand"
             missed += (not said) and label != "hand"
@@ -414,15 +472,15 @@ def _validate(machines: Machines, held: list) -> dict:
 
 def foreign_entries(manifest: DataFrame, content: DataFrame) -> DataFrame:
     """(entry_id) of every present listing of a generated, minified, vendored or data file."""
-    scored, _, _ = classified(content)
-    files = scored.where("score > 0").select("repo_id", "path").distinct()
+    scored, _, _ = classified(content, manifest)
+    files = scored.where(F.col("score") > BAR).select("repo_id", "path").distinct()
     present = manifest.where("presence = 'present'").select("entry_id", "repo_id", "path")
     return present.join(files, ["repo_id", "path"]).select("entry_id").distinct()
 
 
 def entry_kinds(manifest: DataFrame, content: DataFrame) -> DataFrame:
     """(entry_id, kind) of the same listings."""
-    scored, _, _ = classified(content)
-    files = scored.where("score > 0").groupBy("repo_id", "path").agg(F.max_by("kind", "score").alias("kind"))
+    scored, _, _ = classified(content, manifest)
+    files = scored.where(F.col("score") > BAR).groupBy("repo_id", "path").agg(F.max_by("kind", "score").alias("kind"))
     present = manifest.where("presence = 'present'").select("entry_id", "repo_id", "path")
     return present.join(files, ["repo_id", "path"]).select("entry_id", "kind").distinct()
