@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,14 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``; without that name nothing is
+    written there. Only on one machine (a local master), as in tests, a temporary
+    folder is made where it is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if named is None and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     current = sc.getCheckpointDir()
     if current is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-checkpoint-"))

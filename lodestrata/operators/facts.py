@@ -23,7 +23,7 @@ KEY_PATTERNS = {
 }
 MARKERS = {
     "framework": ("spring", "tokio", "actix", "react", "django", "fastapi"),
-    "test-marker": ("#[test]", "@test", "describe(", "test(", "pytest", "junit"),
+    "test-marker": ("#[test]", "@test", "describe(", "test(", "pytest"),
     "endpoint": ("/api/", "endpoint", "route", "http://", "https://"),
     "authorization": ("authorization", "permission", "bearer", "jwt", "token", "role"),
     "storage": ("postgres", "mysql", "sqlite", "database", "repository", "s3"),
@@ -66,7 +66,7 @@ CONTENT_CLASSES = (
     ("spring-data-slice", ("@DataJpaTest", "@JdbcTest", "@JooqTest", "@MybatisTest")),
     ("spring-web-slice", ("@WebMvcTest", "@AutoConfigureMockMvc")),
     ("jvm-test-profile", ("@activeprofiles", "spring_profiles_active", "quarkus.test.profile", "micronaut.environments")),
-    ("junit-integration-tag", ('@tag("integration")', '@tag("e2e")', '@tag("contract")', '@tag("slow")', "@category(integrationtest", "@category(e2etest")),
+    ("jvm-integration-tag", ('@tag("integration")', '@tag("e2e")', '@tag("contract")', '@tag("slow")', "@category(integrationtest", "@category(e2etest")),
     ("jvm-integration-naming", ()),
     ("pytest-env-marker", (
         "pytest.mark.integration", "pytest.mark.e2e", "pytest.mark.contract", "pytest.mark.system", "pytest.mark.django_db", "pytest.mark.db", "pytest.mark.redis", "pytest.mark.kafka",

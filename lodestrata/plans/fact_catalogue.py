@@ -74,6 +74,7 @@ def _sql(pattern: str) -> str:
 
 
 def oracle_sql():
+    most = "list_max(list_filter(range(0, 201), lambda i: strlen(substr(text, 1, CAST(i AS INT))) <= 200))"
     place = lambda n: f"instr(lower(text), '{_sql(n)}')"
     marker_rows = " UNION ALL ".join(
         f"SELECT doc_id, text, '{kind}' AS kind, {i} AS i, '{_sql(n)}' AS marker, {place(n)} AS pos FROM documents WHERE {place(n)} > 0" for kind, needles in facts.MARKERS.items() for i, n in enumerate(needles)
@@ -112,6 +113,7 @@ SELECT doc_id, rule_id, CAST(line AS INT) AS line, {bounded('m', 1000)} AS match
         "test_classifier": f"WITH {FILES} SELECT file_id, CASE {classes} ELSE '{facts.NO_CLASS}' END AS test_class, regexp_matches(lower(path), '{_sql(facts.TEST_PATH)}') AS test_like FROM file",
         "grep_queries": f"""WITH {ln}, m AS ({grep_rows}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS k FROM m)
 SELECT q.query_id, r.doc_id, r.n FROM (VALUES {', '.join(f"('{q}')" for q, _ in GREP)}) AS q(query_id) LEFT JOIN (SELECT * FROM r WHERE k <= 50) r USING (query_id)""",
+        "utf8_truncate": f"SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text WHEN text IS NOT NULL THEN substr(text, 1, CAST({most} AS INT)) || chr(10) || '[truncated]' || chr(10) END AS cut FROM documents",
         "fact_functions": f"""SELECT DISTINCT fact_id, substr(CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN '(none)' ELSE trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) END, 1, 60) AS clean,
   {bounded('text', 40)} AS bounded, translate(coalesce(text, ''), chr(9) || chr(13) || chr(10), '   ') AS tsv,
   substr(sha256('impact-fact/v1' || {z} || provider_id || {z} || path || {z} || kind || {z} || {identity} || {z} || rule_id || {z} || provenance || {z}), 1, 16) AS stable FROM normalized_fact""",

@@ -7,6 +7,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,31 @@ def regex_rules(lines: list[str]) -> tuple[list[tuple[str, str]], list[tuple[str
         elif len(rules) >= MOST_QUERIES:
             problems.append((line[:60], "too-many-patterns"))
         else:
-            try:
-                re.compile(line)
+            problem = pattern_problem(line)
+            if problem:
+                problems.append((line[:60], f"invalid-pattern: {problem}"))
+            else:
                 rules.append((f"query-{len(rules) + 1}", line))
-            except re.error as e:
-                problems.append((line[:60], f"invalid-pattern: {e.msg}"))
     return rules, problems
 
 
+def pattern_problem(pattern: str) -> str | None:
+    """Why a pattern is not one: by the JVM's engine, which runs it, where a session is active, else by Python's."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    try:
+        if sc is None:
+            re.compile(pattern)
+        else:
+            sc._jvm.java.util.regex.Pattern.compile(pattern)
+    except re.error as e:
+        return e.msg
+    except Py4JJavaError as e:
+        return str(e.java_exception.getMessage()).partition("\n")[0]
+    return None
+
+
 def test_hints(lines: DataFrame, column: str = "value") -> DataFrame:
     """(ord, rule_id, path_regex, content_regex, test_kind, environment_dependency, confidence, hint) of tab-separated lines.
 

@@ -35,16 +35,21 @@ def report_format(payload) -> F.col:
 
 
 def sarif(reports: DataFrame, repository: str = "") -> DataFrame:
-    """Findings of (report_id, payload): one per location; absent ones are dropped, a rule is found by id, else by index."""
+    """Findings of (report_id, payload): one per location; absent ones are dropped.
+
+    A result's rule is the run's first of its id, else the one at its index; rules are joined by their keys, never carried along with results.
+    """
     run = reports.select("report_id", F.from_json("payload", SARIF).alias("p")).select("report_id", F.posexplode("p.runs").alias("run_no", "run"))
     failed = F.exists(F.coalesce("run.invocations", F.array().cast("array<struct<executionSuccessful:boolean>>")), lambda i: ~F.coalesce(i["executionSuccessful"], F.lit(True)))
-    each = run.select("report_id", "run_no", clean_text("run.tool.driver.name", "unknown-sarif-tool", 200).alias("tool"), F.col("run.tool.driver.rules").alias("rules"), (~failed).alias("completed"), F.posexplode("run.results").alias("result_no", "r"))
+    each = run.select("report_id", "run_no", clean_text("run.tool.driver.name", "unknown-sarif-tool", 200).alias("tool"), (~failed).alias("completed"), F.posexplode("run.results").alias("result_no", "r"))
     each = each.where(F.coalesce(F.col("r.baselineState") != "absent", F.lit(True)))
     rule_id = clean_text(F.coalesce(F.col("r.ruleId"), F.concat(F.lit("result-"), F.col("result_no").cast("string"))), "result", 200)
-    by_id = F.try_element_at(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), F.lit(1))
-    by_index = F.when(F.col("r.ruleIndex") >= 0, F.try_element_at("rules", F.col("r.ruleIndex") + 1))
-    rule = F.coalesce(by_id, by_index)
-    located = each.select("*", rule_id.alias("rule_id"), rule.alias("rule"), F.explode_outer("r.locations").alias("loc"))
+    listed = run.select("report_id", "run_no", F.posexplode("run.tool.driver.rules").alias("rule_no", "rule")).where("rule is not null")
+    by_id = listed.where("rule.id is not null").groupBy("report_id", "run_no", F.col("rule.id").alias("k_id")).agg(F.min_by("rule", "rule_no").alias("by_id"))
+    by_index = listed.groupBy("report_id", "run_no", F.col("rule_no").alias("k_no")).agg(F.first("rule").alias("by_index"))
+    keyed = each.withColumns({"k_id": F.col("r.ruleId"), "k_no": F.col("r.ruleIndex")})
+    found = keyed.join(by_id, ["report_id", "run_no", "k_id"], "left").join(by_index, ["report_id", "run_no", "k_no"], "left")
+    located = found.select("report_id", "run_no", "tool", "completed", "r", rule_id.alias("rule_id"), F.coalesce("by_id", "by_index").alias("rule"), F.explode_outer("r.locations").alias("loc"))
     level = F.coalesce("r.level", "r.properties.severity", "rule.defaultConfiguration.level")
     precision = F.coalesce("r.properties.precision", "rule.properties.precision")
     base = F.when(F.col("r.baselineState").isin("new"), "new").when(F.col("r.baselineState").isin("unchanged", "updated"), "existing").otherwise("unknown")

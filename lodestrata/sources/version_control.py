@@ -12,54 +12,72 @@ from lodestrata.functions.text import is_binary, valid_repo_path
 from lodestrata.operators.ordered import prefix_sum
 
 
-def name_status(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """(source, ordinal, status, path, old_path) of NUL-separated name-status output; renames and copies take two paths.
-
-    ``raw``: source and the output as text. Incomplete trailing entries are left out.
-    """
+def _decoded(raw: DataFrame, column: str, read, fields: str) -> DataFrame:
+    """Rows that ``read`` makes of each output's tokens, and one with ``rejected`` for a tail it cannot read."""
+    names = ["source", "ordinal", *[f.split()[0] for f in fields.split(", ")], "rejected"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for source, text in zip(batch["source"], batch["raw"]):
                 tokens = (text or "").split("\0")
+                if tokens[-1] == "":
+                    tokens.pop()  # the end of the last entry
                 at = n = 0
-                while at < len(tokens) and tokens[at]:
-                    two = tokens[at][0] in "RC"
-                    paths = tokens[at + 1:at + 2 + two]
-                    if len(paths) < 1 + two or not all(paths):
+                while at < len(tokens):
+                    entry, used = read(tokens, at)
+                    if not used:
                         break
                     n += 1
-                    rows.append((source, n, tokens[at], paths[-1], paths[0] if two else None))
-                    at += 2 + two
-            yield pd.DataFrame(rows, columns=["source", "ordinal", "status", "path", "old_path"])
+                    rows.append((source, n, *entry, None))
+                    at += used
+                if at < len(tokens):
+                    rows.append((source, n + 1, *[None] * (len(names) - 3), "\0".join(tokens[at:])))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return raw.select("source", F.col(column).alias("raw")).mapInPandas(run, "source string, ordinal int, status string, path string, old_path string")
+    return raw.select("source", F.col(column).alias("raw")).mapInPandas(run, f"source string, ordinal int, {fields}, rejected string")
 
 
-def numstat(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """(source, ordinal, add, del, path, old_path) of NUL-separated numstat output; an empty path announces a rename's two paths."""
+def _status_entry(tokens: list[str], at: int):
+    two = tokens[at][:1] in ("R", "C")
+    paths = tokens[at + 1:at + 2 + two]
+    if not tokens[at] or len(paths) < 1 + two or not all(paths):
+        return None, 0
+    return (tokens[at], paths[-1], paths[0] if two else None), 2 + two
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source, text in zip(batch["source"], batch["raw"]):
-                tokens = (text or "").split("\0")
-                at = n = 0
-                while at < len(tokens) and tokens[at].count("\t") >= 2:
-                    add, gone, path = tokens[at].split("\t", 2)
-                    old = None
-                    if not path:
-                        if at + 2 >= len(tokens):
-                            break
-                        old, path = tokens[at + 1:at + 3]
-                        at += 2
-                    n += 1
-                    rows.append((source, n, add, gone, path, old))
-                    at += 1
-            yield pd.DataFrame(rows, columns=["source", "ordinal", "add", "del", "path", "old_path"])
 
-    return raw.select("source", F.col(column).alias("raw")).mapInPandas(run, "source string, ordinal int, add string, del string, path string, old_path string")
+def _count_entry(tokens: list[str], at: int):
+    if tokens[at].count("\t") < 2:
+        return None, 0
+    add, gone, path = tokens[at].split("\t", 2)
+    if path:
+        return (add, gone, path, None), 1
+    if at + 2 >= len(tokens):
+        return None, 0
+    return (add, gone, tokens[at + 2], tokens[at + 1]), 3
+
+
+def name_status_decoded(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """``name_status`` with a further row for each output whose tail cannot be read: ``rejected`` holds the tail, the rest is null."""
+    return _decoded(raw, column, _status_entry, "status string, path string, old_path string")
+
+
+def name_status(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """(source, ordinal, status, path, old_path) of NUL-separated name-status output; renames and copies take two paths.
+
+    ``raw``: source and the output as text. Tails that cannot be read are in ``name_status_decoded``.
+    """
+    return name_status_decoded(raw, column).where("rejected is null").drop("rejected")
+
+
+def numstat_decoded(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """``numstat`` with a further row for each output whose tail cannot be read."""
+    return _decoded(raw, column, _count_entry, "add string, del string, path string, old_path string")
+
+
+def numstat(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """(source, ordinal, add, del, path, old_path) of NUL-separated numstat output; an empty path announces a rename's two paths."""
+    return numstat_decoded(raw, column).where("rejected is null").drop("rejected")
 
 
 def tree_listing(raw: DataFrame) -> DataFrame:

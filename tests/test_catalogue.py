@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from lodestrata.plans import change_catalogue, evidence_catalogue, fact_catalogue, graph_catalogue, ledger_catalogue, nested_records, review_catalogue, source_catalogue
+from lodestrata.plans import change_catalogue, evidence_catalogue, fact_catalogue, graph_catalogue, ledger_catalogue, nested_records, reader_catalogue, review_catalogue, source_catalogue
 from tests.oracle import connection, same
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (nested_records, change_catalogue, fact_catalogue, evidence_catalogue, graph_catalogue, ledger_catalogue, source_catalogue, review_catalogue)
+MODULES = (nested_records, change_catalogue, fact_catalogue, evidence_catalogue, graph_catalogue, ledger_catalogue, source_catalogue, review_catalogue, reader_catalogue)
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
