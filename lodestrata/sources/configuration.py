@@ -7,7 +7,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +45,8 @@ def pattern_problem(pattern: str) -> str | None:
             sc._jvm.java.util.regex.Pattern.compile(pattern)
     except re.error as e:
         return e.msg
-    except Py4JJavaError as e:
-        return str(e.java_exception.getMessage()).partition("\n")[0]
+    except IllegalArgumentException as e:
+        return str(e).partition("\n")[0]
     return None
 
 
